@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.schema import col, require_columns
@@ -51,25 +51,19 @@ def examples(df: DataFrame, n: int = 3) -> DataFrame:
     return copies(df).orderBy(*[col(c) for c in df.columns]).limit(n)
 
 
-def by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
-    """First row per key in the given order.
+def by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], last: bool = False) -> DataFrame:
+    """First (or last) row per key in the given order, which should be free of ties.
 
     Written as an aggregate, so each task reduces its rows to one per key
     before anything is shuffled and a hot key costs no more than another.
     """
     require_columns(df, keys)
-    order = [c if isinstance(c, Column) else col(c) for c in order_by]
+    order = F.struct(*[c if isinstance(c, Column) else col(c) for c in order_by])
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(list(keys))
-    first = F.min_by(F.struct(*[col(c) for c in rest]), F.struct(*order)).alias("_first")
-    out = df.groupBy(*[col(c) for c in keys]).agg(first)
+    row = F.struct(*[col(c) for c in rest])
+    kept = (F.max_by if last else F.min_by)(row, order).alias("_kept")
+    out = df.groupBy(*[col(c) for c in keys]).agg(kept)
     return out.select(*[
-        col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns])
-
-
-def window_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
-    """As :func:`by_key` for orders a struct cannot express (descending, nulls last)."""
-    require_columns(df, keys)
-    order = Window.partitionBy(*[col(c) for c in keys]).orderBy(*order_by)
-    return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+        col(c) if c in keys else F.col("_kept").getField(c).alias(c) for c in df.columns])
