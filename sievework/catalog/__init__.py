@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.catalog import cleaning  # noqa: F401
+from sievework.catalog import (  # noqa: F401
+    activity, charts, cleaning, deriving, fitting, profiling, storing, testing,
+)
 from sievework.catalog.registry import QUERIES, SQL, Query
 
 

@@ -168,7 +168,7 @@ def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, n: int = MAX_
 def raw_line(df: DataFrame, x: str, y: str, n: int = MAX_POINTS, key: Sequence[str] | None = None) -> DataFrame:
     """Sampled complete pairs ``x, y`` sorted by x."""
     rows = scatter(df, x, y, n=n, key=key)
-    return rows.select(col(x).alias("x"), col(y).alias("y")).orderBy("x", "y")
+    return rows.select(as_number(x).alias("x"), as_number(y).alias("y")).orderBy("x", "y")
 
 
 def _binned_mean(rows: DataFrame, bins: Bins, labels: Sequence[str]) -> DataFrame:
