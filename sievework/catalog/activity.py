@@ -21,7 +21,7 @@ def _(spark, folder):
 
 
 SESSIONS = """
-WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= {gap} * 1000000 THEN 0 ELSE 1 END AS opens
+WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= {gap} * 1000000::BIGINT THEN 0 ELSE 1 END AS opens
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
 sessions AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events,

@@ -319,7 +319,8 @@ def _(spark, folder):
 SELECT c_custkey, CAST(CASE WHEN c_acctbal IS NULL OR c_acctbal < 0 THEN 0 WHEN c_acctbal > 1 THEN 1 ELSE trunc(c_acctbal) END AS INTEGER) AS flag
 FROM ({CUSTOMERS})""")
 def _(spark, folder):
-    return customers(spark, folder).select("c_custkey", text.to_binary(F.col("c_acctbal")).alias("flag"))
+    c = customers(spark, folder)
+    return c.select("c_custkey", text.to_binary(text.number_of(c, "c_acctbal")).alias("flag"))
 
 
 @query("label_flags", """

@@ -148,10 +148,15 @@ def quantiles(df: DataFrame, values: Mapping[str, Column],
                  F.percentile_approx(v, asked, SKETCH_ACCURACY).alias(f"s{i}")]
     first = df.agg(*aggs).first()
 
-    sizes: dict[str, int] = {}
+    sizes = {name: first[f"n{i}"] for i, name in enumerate(values)}
+    if max(sizes.values(), default=0) <= INTERVAL_ROWS:
+        # Few enough rows for one task, as counted above.
+        row = df.agg(*[F.percentile(values[n].cast("double"), probs).alias(f"q{i}")
+                       for i, n in enumerate(values)]).first()
+        return {n: list(row[f"q{i}"] or [None] * len(probs)) for i, n in enumerate(values)}
     intervals: dict[str, list[_Interval]] = {}
     for i, name in enumerate(values):
-        n = sizes[name] = first[f"n{i}"]
+        n = sizes[name]
         if n == 0:
             continue
         if n <= INTERVAL_ROWS:
@@ -194,26 +199,36 @@ def quantile(df: DataFrame, value: Column, p: float) -> float | None:
 # --- value ranges ---------------------------------------------------------
 
 
-def range_splits(df: DataFrame, value: Column, ranges: int | None = None) -> list[float]:
-    """Inner borders that cut the values into ranges of about equal row counts.
+def _borders(cuts: Sequence[float]) -> list[float]:
+    """Sorted range borders; a value met twice gets a range of its own."""
+    borders: set[float] = set()
+    for i, cut in enumerate(cuts):
+        borders.add(cut)
+        if i and cuts[i - 1] == cut:
+            borders.add(float(np.nextafter(cut, np.inf)))
+    return sorted(borders)
+
+
+def column_splits(df: DataFrame, values: Sequence[Column], ranges: int | None = None) -> list[list[float]]:
+    """Inner borders that cut each column into ranges of about equal row counts.
 
     A value so frequent that it fills a range gets a range of its own.  With
     ``ranges=None`` the number follows from the row count.
     """
-    v = value.cast("double")
+    values = [v.cast("double") for v in values]
     if ranges is None:
-        n = df.agg(F.count(v)).first()[0]
-        ranges = min(MAX_RANGES, math.ceil(n / ROWS_PER_RANGE))
+        counts = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)]).first()
+        ranges = min(MAX_RANGES, math.ceil(max(counts) / ROWS_PER_RANGE))
     if ranges < 2:
-        return []
+        return [[] for _ in values]
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(v, probs, max(SKETCH_ACCURACY, 4 * ranges))).first()[0] or []
-    borders: set[float] = set()
-    for i, cut in enumerate(cuts):
-        borders.add(cut)
-        if i and cuts[i - 1] == cut:
-            borders.add(float(np.nextafter(cut, np.inf)))
-    return sorted(borders)
+    row = df.agg(*[F.percentile_approx(v, probs, max(SKETCH_ACCURACY, 4 * ranges)).alias(f"c{i}")
+                   for i, v in enumerate(values)]).first()
+    return [_borders(cuts or []) for cuts in row]
+
+
+def range_splits(df: DataFrame, value: Column, ranges: int | None = None) -> list[float]:
+    return column_splits(df, [value], ranges)[0]
 
 
 def with_range(df: DataFrame, name: str, splits: Sequence[float], into: str) -> DataFrame:
@@ -282,11 +297,8 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: Column,
     return found.select(*[col(c) for c in by], *outs)
 
 
-def average_ranks(df: DataFrame, value: Column, weight: Column | None = None) -> DataFrame:
-    """One row per distinct value with the average rank its rows share: ``value, rank``."""
-    rows = df.select(value.cast("double").alias("value"),
-                     (F.lit(1) if weight is None else weight).alias("w")).where("value is not null")
-    splits = range_splits(rows, F.col("value"))
-    distinct = rows.groupBy("value").agg(F.sum("w").alias("w"))
-    ranked = running_total(distinct, "value", "w", splits, "upto")
-    return ranked.select("value", (F.col("upto") - (F.col("w") - 1) / 2).alias("rank"))
+def average_ranks(counts: DataFrame, value: str, weight: str, splits: Sequence[float]) -> DataFrame:
+    """``value, rank, total``: the average rank of the rows of each distinct value, from counted rows."""
+    distinct = counts.groupBy(col(value).alias("value")).agg(F.sum(weight).alias("w"))
+    ranked = running_total(distinct, "value", "w", splits, "upto", "total")
+    return ranked.select("value", (F.col("upto") - (F.col("w") - 1) / 2).alias("rank"), "total")

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.quantiles import average_ranks, range_splits, with_range
+from sievework.functions.quantiles import average_ranks, column_splits, with_range
 from sievework.functions.schema import as_number, numeric_columns, require_numeric
 from sievework.functions.stats import correlation, correlation_p_value
-from sievework.functions.work import settle
+from sievework.functions.work import one_row, settle
 
 CELLS_PER_STRIP = 500_000
 MAX_STRIPS = 2048
@@ -36,20 +37,19 @@ def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
         "x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> float | None:
-    """Pearson r of average ranks."""
-    cells = settle(_cells(df, x, y))
-    rx = average_ranks(cells, F.col("x"), F.col("c")).toDF("x", "rx")
-    ry = average_ranks(cells, F.col("y"), F.col("c")).toDF("y", "ry")
-    n = cells.agg(F.sum("c")).first()[0]
-    if not n:
-        return None
-    middle = (n + 1) / 2
+def spearman(df: DataFrame, x: str, y: str, splits: Mapping[str, Sequence[float]] | None = None) -> float | None:
+    """Pearson r of average ranks, in one job once the value ranges are known."""
+    if splits is None:
+        splits = dict(zip((x, y), column_splits(df, [as_number(x), as_number(y)])))
+    cells = _cells(df, x, y)
+    rx = average_ranks(cells, "x", "c", splits[x]).toDF("x", "rx", "n")
+    ry = average_ranks(cells, "y", "c", splits[y]).drop("total").toDF("y", "ry")
+    middle = (F.col("n") + 1) / 2
     ranked = cells.join(rx, "x").join(ry, "y").select(
         "c", (F.col("rx") - middle).alias("dx"), (F.col("ry") - middle).alias("dy"))
     row = ranked.agg(F.sum(F.expr("c * dx * dy")).alias("xy"), F.sum(F.expr("c * dx * dx")).alias("xx"),
                      F.sum(F.expr("c * dy * dy")).alias("yy")).first()
-    scale = math.sqrt(row["xx"] * row["yy"])
+    scale = math.sqrt((row["xx"] or 0.0) * (row["yy"] or 0.0))
     return row["xy"] / scale if scale else None
 
 
@@ -123,21 +123,21 @@ def _concordant(cells: DataFrame, xs: Sequence[float], ys: Sequence[float]) -> f
 def kendall(df: DataFrame, x: str, y: str) -> float | None:
     """Kendall tau-b: rising minus falling pairs over the pairs untied in x and in y."""
     cells = settle(_cells(df, x, y))
+    def ties(name: str) -> Column:
+        counts = cells.groupBy(name).agg(F.sum("c").alias("c"))
+        return one_row(counts.agg(F.sum(F.expr("c * (c - 1) / 2")).alias("t"))).getField("t")
+
     row = cells.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("cells"),
-                    F.sum(F.expr("c * (c - 1) / 2")).alias("both")).first()
-    n = row["n"]
+                    F.sum(F.expr("c * (c - 1) / 2")).alias("both")).withColumns(
+        {"tx": ties("x"), "ty": ties("y")}).first()
+    n, tx, ty, both = row["n"], row["tx"], row["ty"], row["both"]
     if not n or n < 2:
         return None
-
-    def ties(name: str) -> float:
-        return cells.groupBy(name).agg(F.sum("c").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0]
-
-    tx, ty, both, pairs = ties("x"), ties("y"), row["both"], n * (n - 1) / 2
+    pairs = n * (n - 1) / 2
     if pairs == tx or pairs == ty:
         return None
     strips = min(MAX_STRIPS, math.ceil(row["cells"] / CELLS_PER_STRIP))
-    xs = range_splits(cells, F.col("x"), strips)
-    ys = range_splits(cells, F.col("y"), strips)
+    xs, ys = column_splits(cells, [F.col("x"), F.col("y")], strips)
     rising = _concordant(cells, xs, ys)
     falling = pairs - tx - ty + both - rising
     return (rising - falling) / math.sqrt((pairs - tx) * (pairs - ty))
@@ -160,16 +160,24 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str =
         row = df.agg(*[correlation(as_number(names[i]), as_number(names[j])).alias(f"r{i}_{j}") for i, j in upper])
         value = {(i, j): F.col(f"r{i}_{j}") for i, j in upper}
     else:
-        one = spearman if method == "spearman" else kendall
+        if method == "spearman":
+            numbers = [as_number(c) for c in names]
+            splits = dict(zip(names, column_splits(df, numbers)))
+            one = partial(spearman, splits=splits)
+        else:
+            one = kendall
         row = df.sparkSession.range(1)
-        value = {(i, j): F.lit(one(df, names[i], names[j]) if i != j else _self(df, names[i])).cast("double")
-                 for i, j in upper}
+        varied = _varied(df, names)
+        value = {(i, j): F.lit((1.0 if i == j else one(df, names[i], names[j]))
+                               if varied[i] and varied[j] else None).cast("double") for i, j in upper}
     entries = [F.struct(F.lit(names[i]).alias("col_a"), F.lit(names[j]).alias("col_b"),
                         F.round(value[min(i, j), max(i, j)], 4).alias("r"))
                for i in range(len(names)) for j in range(len(names))]
     return row.select(F.inline(F.array(*entries)))
 
 
-def _self(df: DataFrame, name: str) -> float | None:
-    row = df.agg(F.min(as_number(name)).alias("lo"), F.max(as_number(name)).alias("hi")).first()
-    return None if row["lo"] is None or row["lo"] == row["hi"] else 1.0
+def _varied(df: DataFrame, names: Sequence[str]) -> list[bool]:
+    """Whether each column holds two different values."""
+    row = df.agg(*[F.coalesce(F.min(as_number(c)) < F.max(as_number(c)), F.lit(False)).alias(f"v{i}")
+                   for i, c in enumerate(names)]).first()
+    return list(row)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROW = ("key string, label string, source_key string, transform string, created_at timestamp, revision int, "
@@ -32,11 +32,15 @@ class Versions:
         except AnalysisException:
             return self.spark.createDataFrame([], ROW)
 
+    def _newest(self) -> DataFrame:
+        """Latest row of every key, removed ones included."""
+        log = self._log()
+        newest = F.max_by(F.struct(*[c for c in log.columns if c != "key"]), "revision").alias("r")
+        return log.groupBy("key").agg(newest).select("key", "r.*")
+
     def current(self) -> DataFrame:
         """Latest row of every key that was not removed."""
-        newest = Window.partitionBy("key").orderBy(F.desc("revision"))
-        return self._log().withColumn("_n", F.row_number().over(newest)).where(
-            "_n = 1 and not removed").drop("_n")
+        return self._newest().where("not removed")
 
     def _row(self, key: str):
         row = self.current().where(F.col("key") == key).first()
@@ -46,9 +50,9 @@ class Versions:
 
     def _next_key(self, prefix: str) -> tuple[str, int]:
         """First free key of a prefix, and its first revision number."""
-        last = {r["key"]: r["r"] for r in self._log().groupBy("key").agg(F.max("revision").alias("r")).where(
-            F.col("key").startswith(prefix)).collect()}
-        live = {r["key"] for r in self.current().where(F.col("key").startswith(prefix)).select("key").collect()}
+        rows = self._newest().where(F.col("key").startswith(prefix)).select("key", "revision", "removed").collect()
+        last = {r["key"]: r["revision"] for r in rows}
+        live = {r["key"] for r in rows if not r["removed"]}
         if prefix == FIRST_KEY and FIRST_KEY not in live:
             return FIRST_KEY, last.get(FIRST_KEY, 0) + 1
         i = 1
@@ -66,7 +70,7 @@ class Versions:
         self._append([row])
 
     def _append(self, rows: list[dict]) -> None:
-        names = self.spark.createDataFrame([], ROW).columns
+        names = [part.split()[0] for part in ROW.split(", ")]
         self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ROW).coalesce(1).write.mode(
             "append").parquet(self._table)
 
