@@ -8,6 +8,7 @@ from sievework.catalog.cleaning import CUSTOMERS, PRIORITISED, customers, priori
 from sievework.catalog.registry import query, rounded, sql_left_bin, table
 from sievework.functions.stats import wald_high, wald_low
 from sievework.operators import missing, profile, scaling
+from sievework.plans import steps
 
 
 @query("overview", f"""
@@ -207,16 +208,18 @@ def _(spark, folder):
 
 
 @query("clean_and_summarise", """
-WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_extendedprice,
-    CASE WHEN l_linenumber <> 7 THEN l_discount END AS disc FROM lineitem),
-f AS (SELECT avg(disc) AS m, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM d),
-c AS (SELECT l_returnflag, coalesce(disc, m) AS disc, CASE WHEN l_extendedprice < q1 - (q3 - q1) * 0.25 THEN q1 - (q3 - q1) * 0.25
-    WHEN l_extendedprice > q3 + (q3 - q1) * 0.25 THEN q3 + (q3 - q1) * 0.25 ELSE l_extendedprice END AS price FROM d, f)
+WITH f AS (SELECT avg(l_discount) FILTER (l_linenumber <> 7) AS m, quantile_cont(l_extendedprice, 0.25) AS q1,
+    quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem),
+c AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_linenumber <> 7 THEN l_discount ELSE m END AS disc,
+    greatest(q1 - (q3 - q1) * 0.25, least(q3 + (q3 - q1) * 0.25, l_extendedprice)) AS price FROM lineitem, f)
 SELECT l_returnflag, round(avg(price), 4) AS "value", count(*) AS "count", round(stddev_samp(price), 4) AS std FROM c GROUP BY 1""")
 def _(spark, folder):
     rows = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice",
-        F.when(F.col("l_linenumber") != 7, F.col("l_discount")).alias("l_discount")).dropDuplicates()
-    filled = missing.fill(rows, ["l_discount"], "mean")
-    capped = scaling.outliers(filled, "l_extendedprice", "cap", 0.25)
-    return rounded(profile.grouped_bar(capped, "l_extendedprice", "l_returnflag"), 4, "value", "std")
+        F.when(F.col("l_linenumber") != 7, F.col("l_discount")).alias("l_discount"))
+    out = steps.run(rows, [
+        {"action": "fill", "cols": ["l_discount"], "strategy": "mean"},
+        {"action": "outliers", "column": "l_extendedprice", "how": "cap", "k": 0.25},
+        {"action": "remove_duplicates"},
+    ])
+    return rounded(profile.grouped_bar(out, "l_extendedprice", "l_returnflag"), 4, "value", "std")

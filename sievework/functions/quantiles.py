@@ -1,10 +1,11 @@
 """Exact quantiles and running totals that never gather a column in one task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one hash
-map.  Here a whole-column quantile is found by narrowing: a sketch gives an
-interval that must hold the wanted order statistic, one more scan counts what
-lies below it and lists the few distinct values inside.  Neither scan shuffles
-more than that list.
+map.  Here a whole-column quantile is found by narrowing: a sample proposes an
+interval around the wanted order statistic, a scan counts what lies below and
+inside it, and the few distinct values inside are listed.  The counts prove
+that the interval holds the statistic; if it does not, a wider one is tried.
+No scan shuffles more than the listed values.
 
 Grouped quantiles and ranks count equal values first (which collapses hot
 values on the map side) and then run over value ranges, each of which is its
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -24,172 +25,174 @@ from pyspark.sql import functions as F
 
 from sievework.functions.schema import col
 
-SKETCH_ACCURACY = 10_000
-# The sketch places a value within n / SKETCH_ACCURACY ranks of the asked one.
-SKETCH_MARGIN = 2.2 / SKETCH_ACCURACY
-# Up to this many rows an interval may hold before it is narrowed again.
-INTERVAL_ROWS = 50_000
+# Up to this many rows one task may sort, and about this many values are listed.
+SMALL_ROWS = 50_000
+# Rows drawn to propose an interval, and how many standard errors wide it is.
+SAMPLE_ROWS = 200_000
+STANDARD_ERRORS = 6
+ACCURACY = 5_000
+SEED = 17
 # Rows one window partition is meant to hold.
-ROWS_PER_RANGE = 1_000_000
+ROWS_PER_RANGE = 250_000
 MAX_RANGES = 4096
 
 
 @dataclass
 class _Interval:
-    """A value interval [lo, hi] of one column that holds the wanted ranks."""
+    """A value interval [lo, hi] of one column that should hold the wanted ranks.
 
+    ``below`` and ``inside`` are the counted rows, ``slack`` widens the next proposal.
+    """
+
+    column: str
     lo: float
     hi: float
-    ranks: set[int] = field(default_factory=set)
-
-
-def _merged(intervals: list[_Interval]) -> list[_Interval]:
-    done: list[_Interval] = []
-    for item in sorted(intervals, key=lambda i: i.lo):
-        if done and item.lo <= done[-1].hi:
-            done[-1].hi = max(done[-1].hi, item.hi)
-            done[-1].ranks |= item.ranks
-        else:
-            done.append(_Interval(item.lo, item.hi, set(item.ranks)))
-    return done
-
-
-def _wanted_ranks(n: int, probs: Sequence[float]) -> set[int]:
-    ranks: set[int] = set()
-    for p in probs:
-        at = p * (n - 1)
-        ranks |= {math.floor(at), math.ceil(at)}
-    return ranks
-
-
-def _region_counts(df: DataFrame, values: Mapping[str, Column],
-                   intervals: Mapping[str, list[_Interval]]) -> dict[str, list[tuple]]:
-    """Per column: rows below/between the intervals, and counts of each value inside them."""
-    names = list(intervals)
-    entries = []
-    for i, name in enumerate(names):
-        v = F.col(f"v{i}")
-        region = F.lit(2 * len(intervals[name]))
-        inside = F.lit(None).cast("double")
-        for j in reversed(range(len(intervals[name]))):
-            span = intervals[name][j]
-            region = F.when(v < span.lo, 2 * j).when(v <= span.hi, 2 * j + 1).otherwise(region)
-            inside = F.when(v.between(span.lo, span.hi), v).otherwise(inside)
-        entries.append(F.struct(F.lit(i).alias("c"), region.alias("region"), inside.alias("value"),
-                                v.isNotNull().alias("known")))
-    rows = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    rows = rows.select(F.inline(F.array(*entries)))
-    counted = rows.where("known").groupBy("c", "region", "value").agg(F.count(F.lit(1)).alias("n"))
-    found: dict[str, list[tuple]] = {n: [] for n in names}
-    for row in counted.collect():
-        found[names[row["c"]]].append((row["region"], row["value"], row["n"]))
-    return found
+    ranks: list[int]
+    below: int
+    inside: int
+    slack: float = 1.0
+
+    def holds(self) -> bool:
+        return all(self.below <= r < self.below + self.inside for r in self.ranks)
+
+
+def _wanted_ranks(n: int, p: float) -> list[int]:
+    at = p * (n - 1)
+    return sorted({math.floor(at), math.ceil(at)})
+
+
+def _proposed(rows: DataFrame, spans: list[_Interval]) -> list[_Interval]:
+    """A narrower interval for each, from a sample of the rows inside it."""
+    drawn = rows.withColumn("_u", F.rand(SEED))
+    sketches, margins = [], []
+    for i, span in enumerate(spans):
+        share = min(1.0, SAMPLE_ROWS / span.inside)
+        v = F.col(span.column)
+        margin = span.slack * (0.5 * STANDARD_ERRORS / math.sqrt(share * span.inside) + 2 / ACCURACY)
+        margins.append(margin)
+        probs = [max(0.0, (span.ranks[0] - span.below) / span.inside - margin),
+                 min(1.0, (span.ranks[-1] - span.below + 1) / span.inside + margin)]
+        held = F.when(v.between(span.lo, span.hi) & (F.col("_u") < share), v)
+        sketches.append(F.percentile_approx(held, probs, ACCURACY).alias(f"s{i}"))
+    row = drawn.agg(*sketches).first()
+    out = []
+    for i, span in enumerate(spans):
+        lo, hi = row[f"s{i}"] or (span.lo, span.hi)
+        # The ends of the sample are not the ends of the data.
+        lo = span.lo if (span.ranks[0] - span.below) / span.inside <= margins[i] else lo
+        hi = span.hi if (span.ranks[-1] - span.below + 1) / span.inside >= 1 - margins[i] else hi
+        expected = math.ceil(2 * margins[i] * span.inside)
+        out.append(_Interval(span.column, lo, hi, span.ranks, span.below, expected, span.slack))
+    return out
+
+
+def _counted(rows: DataFrame, spans: list[_Interval]) -> None:
+    """Count the rows below and inside every interval."""
+    aggs = []
+    for i, span in enumerate(spans):
+        v = F.col(span.column)
+        aggs += [F.count_if(v < span.lo).alias(f"b{i}"), F.count_if(v.between(span.lo, span.hi)).alias(f"m{i}")]
+    row = rows.agg(*aggs).first()
+    for i, span in enumerate(spans):
+        span.below, span.inside = row[f"b{i}"], row[f"m{i}"]
+
 
+def _listed(rows: DataFrame, spans: list[_Interval]) -> list[dict[int, float]]:
+    """The order statistics each interval was meant to hold; fewer if it does not hold them.
 
-def _pick(rows: list[tuple], intervals: list[_Interval]) -> dict[int, float]:
-    """Order statistics from region counts."""
-    picked: dict[int, float] = {}
-    before = 0
-    for region in range(2 * len(intervals) + 1):
-        part = sorted(((v, n) for r, v, n in rows if r == region), key=lambda t: (t[0] is not None, t[0] or 0.0))
-        total = sum(n for _, n in part)
-        if region % 2:
-            ends = before + np.cumsum([n for _, n in part])
-            for rank in intervals[region // 2].ranks:
-                if before <= rank < before + total:
-                    picked[rank] = float(part[int(np.searchsorted(ends, rank, side="right"))][0])
-        before += total
-    return picked
-
-
-def _narrow(df: DataFrame, values: Mapping[str, Column],
-            intervals: Mapping[str, list[_Interval]]) -> dict[str, list[_Interval]]:
-    """One narrowing round: count below and inside every interval, then sketch the inside again."""
-    counts = []
-    for i, name in enumerate(intervals):
-        v = values[name].cast("double")
-        for j, span in enumerate(intervals[name]):
-            counts.append(F.count_if(v < span.lo).alias(f"b{i}_{j}"))
-            counts.append(F.count_if(v.between(span.lo, span.hi)).alias(f"m{i}_{j}"))
-    row = df.agg(*counts).first()
-    sketches, plan = [], []
-    for i, name in enumerate(intervals):
-        v = values[name].cast("double")
-        for j, span in enumerate(intervals[name]):
-            below, inside = row[f"b{i}_{j}"], max(row[f"m{i}_{j}"], 1)
-            for rank in sorted(span.ranks):
-                at = (rank - below) / inside
-                probs = [max(0.0, at - SKETCH_MARGIN), min(1.0, at + SKETCH_MARGIN)]
-                held = F.when(v.between(span.lo, span.hi), v)
-                sketches.append(
-                    F.percentile_approx(held, probs, SKETCH_ACCURACY).alias(f"s{len(sketches)}"))
-                plan.append((name, rank, span))
-    got = df.agg(*sketches).first()
-    tighter: dict[str, list[_Interval]] = {n: [] for n in intervals}
-    for k, (name, rank, span) in enumerate(plan):
-        bounds = got[f"s{k}"] or [span.lo, span.hi]
-        tighter[name].append(_Interval(bounds[0], bounds[1], {rank}))
-    return {n: _merged(spans) for n, spans in tighter.items()}
+    Two scans in one job: plain counts, and a filter that leaves the few rows
+    inside an interval to be grouped.
+    """
+    below, inside, anywhere = [], [], F.lit(False)
+    for i, span in enumerate(spans):
+        v = F.col(span.column)
+        held = v.between(span.lo, span.hi)
+        below.append(F.count_if(v < span.lo).alias(f"b{i}"))
+        inside.append(F.when(held, F.struct(F.lit(i).alias("i"), v.alias("value"))))
+        anywhere = anywhere | held
+    counts = rows.agg(*below).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("value"), F.col(f"b{i}").alias("n"))
+        for i in range(len(spans))])))
+    values = rows.where(anywhere).select(F.inline(F.array_compact(F.array(*inside)))).groupBy("i", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    seen: list[list[tuple]] = [[] for _ in spans]
+    for row in counts.unionByName(values).collect():
+        seen[row["i"]].append((row["value"], row["n"]))
+    out = []
+    for span, pairs in zip(spans, seen):
+        span.below = next(n for v, n in pairs if v is None)
+        values = sorted((v, n) for v, n in pairs if v is not None)
+        ends = span.below + np.cumsum([n for _, n in values], dtype=np.int64)
+        span.inside = int(ends[-1]) - span.below if values else 0
+        out.append({r: float(values[int(np.searchsorted(ends, r, side="right"))][0])
+                    for r in span.ranks if span.below <= r < span.below + span.inside})
+    return out
+
+
+def _statistics(rows: DataFrame, whole: list[_Interval]) -> list[dict[int, float]]:
+    """Exact order statistics, each starting from the whole range of its column."""
+    found: list[dict[int, float]] = [{} for _ in whole]
+    # Position -> the last interval known to hold the statistic.
+    open_ = dict(enumerate(whole))
+    while open_:
+        for i in [i for i, span in open_.items() if span.lo == span.hi]:
+            span = open_.pop(i)
+            found[i] = {r: span.lo for r in span.ranks}
+        if not open_:
+            break
+        wide = [i for i, span in open_.items() if span.inside > SMALL_ROWS]
+        narrow = dict(open_)
+        for i, span in zip(wide, _proposed(rows, [open_[i] for i in wide]) if wide else []):
+            narrow[i] = span
+        if all(span.inside <= 2 * SMALL_ROWS for span in narrow.values()):
+            for i, statistics in zip(list(narrow), _listed(rows, list(narrow.values()))):
+                if len(statistics) == len(narrow[i].ranks):
+                    found[i] = statistics
+                    del open_[i]
+                else:
+                    open_[i].slack *= 4
+            continue
+        _counted(rows, list(narrow.values()))
+        for i, span in narrow.items():
+            if span.holds():
+                open_[i] = span
+            else:
+                open_[i].slack *= 4
+    return found
 
 
 def quantiles(df: DataFrame, values: Mapping[str, Column],
               probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of several columns (NULLs skipped).
 
-    The driver sees counts, interval bounds and at most a few ten thousand
+    The driver sees counts, interval bounds and at most some ten thousand
     distinct values per wanted quantile, whatever the size of the table.
     """
     probs = [float(p) for p in probs]
-    asked = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SKETCH_MARGIN, SKETCH_MARGIN)})
+    names = {name: f"v{i}" for i, name in enumerate(values)}
+    rows = df.select(*[v.cast("double").alias(names[name]) for name, v in values.items()])
     aggs = []
-    for i, name in enumerate(values):
-        v = values[name].cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.percentile_approx(v, asked, SKETCH_ACCURACY).alias(f"s{i}")]
-    first = df.agg(*aggs).first()
-
-    sizes = {name: first[f"n{i}"] for i, name in enumerate(values)}
-    if max(sizes.values(), default=0) <= INTERVAL_ROWS:
+    for v in names.values():
+        aggs += [F.count(v).alias(f"{v}_n"), F.min(v).alias(f"{v}_lo"), F.max(v).alias(f"{v}_hi")]
+    first = rows.agg(*aggs).first()
+    sizes = {name: first[f"{v}_n"] for name, v in names.items()}
+    if max(sizes.values(), default=0) <= SMALL_ROWS:
         # Few enough rows for one task, as counted above.
-        row = df.agg(*[F.percentile(values[n].cast("double"), probs).alias(f"q{i}")
-                       for i, n in enumerate(values)]).first()
-        return {n: list(row[f"q{i}"] or [None] * len(probs)) for i, n in enumerate(values)}
-    intervals: dict[str, list[_Interval]] = {}
-    for i, name in enumerate(values):
-        n = sizes[name]
-        if n == 0:
-            continue
-        if n <= INTERVAL_ROWS:
-            intervals[name] = [_Interval(first[f"lo{i}"], first[f"hi{i}"], _wanted_ranks(n, probs))]
-            continue
-        at = dict(zip(asked, first[f"s{i}"]))
-        spans = [
-            _Interval(at[max(0.0, p - SKETCH_MARGIN)], at[min(1.0, p + SKETCH_MARGIN)], _wanted_ranks(n, [p]))
-            for p in probs
-        ]
-        intervals[name] = _merged(spans)
-
-    expected = max(sizes.values(), default=0)
-    while expected * 3 * SKETCH_MARGIN > INTERVAL_ROWS:
-        intervals = _narrow(df, values, intervals)
-        expected = int(expected * 3 * SKETCH_MARGIN)
-
-    picked: dict[str, dict[int, float]] = {n: {} for n in values}
-    if intervals:
-        for name, rows in _region_counts(df, values, intervals).items():
-            picked[name] = _pick(rows, intervals[name])
-    return {name: [_interpolated(picked[name], sizes[name], p) for p in probs] for name in values}
+        row = rows.agg(*[F.percentile(v, probs).alias(v) for v in names.values()]).first()
+        return {name: list(row[v] or [None] * len(probs)) for name, v in names.items()}
+    asked = [(name, p) for name in values if sizes[name] for p in probs]
+    spans = [_Interval(v, first[f"{v}_lo"], first[f"{v}_hi"], _wanted_ranks(sizes[name], p), 0, sizes[name])
+             for name, p in asked for v in [names[name]]]
+    found = dict(zip(asked, _statistics(rows, spans)))
+    return {name: [_interpolated(found.get((name, p), {}), sizes[name], p) for p in probs] for name in values}
 
 
 def _interpolated(picked: Mapping[int, float], n: int, p: float) -> float | None:
     if n == 0:
         return None
     at = p * (n - 1)
-    below, above = math.floor(at), math.ceil(at)
-    missing = [r for r in (below, above) if r not in picked]
-    if missing:
-        raise RuntimeError(f"order statistics {missing} of {n} not found; did the input change between scans?")
-    return picked[below] + (picked[above] - picked[below]) * (at - below)
+    low, high = picked[math.floor(at)], picked[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
 
 
 def quantile(df: DataFrame, value: Column, p: float) -> float | None:
@@ -215,15 +218,17 @@ def column_splits(df: DataFrame, values: Sequence[Column], ranges: int | None =
     A value so frequent that it fills a range gets a range of its own.  With
     ``ranges=None`` the number follows from the row count.
     """
-    values = [v.cast("double") for v in values]
+    rows = df.select(*[v.cast("double").alias(f"c{i}") for i, v in enumerate(values)])
+    names = rows.columns
+    n = max(rows.agg(*[F.count(c) for c in names]).first())
     if ranges is None:
-        counts = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)]).first()
-        ranges = min(MAX_RANGES, math.ceil(max(counts) / ROWS_PER_RANGE))
+        ranges = min(MAX_RANGES, math.ceil(n / ROWS_PER_RANGE))
     if ranges < 2:
-        return [[] for _ in values]
+        return [[] for _ in names]
     probs = [i / ranges for i in range(1, ranges)]
-    row = df.agg(*[F.percentile_approx(v, probs, max(SKETCH_ACCURACY, 4 * ranges)).alias(f"c{i}")
-                   for i, v in enumerate(values)]).first()
+    # Only the balance of the ranges rests on the sample.
+    sample = rows.sample(min(1.0, (SAMPLE_ROWS + 100 * ranges) / n), SEED)
+    row = sample.agg(*[F.percentile_approx(c, probs, max(ACCURACY, 4 * ranges)) for c in names]).first()
     return [_borders(cuts or []) for cuts in row]
 
 
@@ -237,7 +242,8 @@ def with_range(df: DataFrame, name: str, splits: Sequence[float], into: str) ->
         return df.withColumn(into, F.lit(0))
     bucketizer = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=name, outputCol=into,
                             handleInvalid="keep")
-    return bucketizer.transform(df).withColumn(into, col(into).cast("int"))
+    # Not nullable, so that a join on it adds no filter that evaluates it early.
+    return bucketizer.transform(df).withColumn(into, F.coalesce(col(into).cast("int"), F.lit(-1)))
 
 
 def running_total(df: DataFrame, value: str, weight: str, splits: Sequence[float],
@@ -248,6 +254,12 @@ def running_total(df: DataFrame, value: str, weight: str, splits: Sequence[float
     own; the totals of the ranges before it come from a small table.
     """
     by = list(by)
+    if not splits:
+        # One range: the whole table is small enough for a window per group.
+        group = Window.partitionBy(*[col(c) for c in by])
+        upto = group.orderBy(col(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.withColumn(into, F.sum(weight).over(upto))
+        return out.withColumn(total, F.sum(weight).over(group)) if total else out
     ranged = with_range(df, value, splits, "_range")
     upto = Window.partitionBy(*[col(c) for c in by]).orderBy("_range")
     offsets = (

@@ -42,3 +42,12 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 def one_row(df: DataFrame) -> Column:
     """A one-row table (a global aggregate) as a struct column, by scalar subquery."""
     return df.select(F.struct("*")).scalar()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores where the input has too few partitions to keep them busy.
+
+    A table read in at least as many pieces as there are cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import partial
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,20 +37,46 @@ def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
         "x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
 
 
-def spearman(df: DataFrame, x: str, y: str, splits: Mapping[str, Sequence[float]] | None = None) -> float | None:
-    """Pearson r of average ranks, in one job once the value ranges are known."""
-    if splits is None:
-        splits = dict(zip((x, y), column_splits(df, [as_number(x), as_number(y)])))
-    cells = _cells(df, x, y)
-    rx = average_ranks(cells, "x", "c", splits[x]).toDF("x", "rx", "n")
-    ry = average_ranks(cells, "y", "c", splits[y]).drop("total").toDF("y", "ry")
+def _rank_moments(cells: DataFrame, rank_x: DataFrame, rank_y: DataFrame) -> DataFrame:
+    """``xy, xx, yy``: moments of the average ranks around their mean, in one row."""
+    rx = rank_x.toDF("x", "rx", "n")
+    ry = rank_y.select("value", "rank").toDF("y", "ry")
     middle = (F.col("n") + 1) / 2
     ranked = cells.join(rx, "x").join(ry, "y").select(
         "c", (F.col("rx") - middle).alias("dx"), (F.col("ry") - middle).alias("dy"))
-    row = ranked.agg(F.sum(F.expr("c * dx * dy")).alias("xy"), F.sum(F.expr("c * dx * dx")).alias("xx"),
-                     F.sum(F.expr("c * dy * dy")).alias("yy")).first()
-    scale = math.sqrt((row["xx"] or 0.0) * (row["yy"] or 0.0))
-    return row["xy"] / scale if scale else None
+    return ranked.agg(F.sum(F.expr("c * dx * dy")).alias("xy"), F.sum(F.expr("c * dx * dx")).alias("xx"),
+                      F.sum(F.expr("c * dy * dy")).alias("yy"))
+
+
+def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float | None]:
+    """Pearson r of average ranks for several pairs of columns.
+
+    Columns without missing values are ranked once for all pairs; others anew
+    among the complete rows of each pair.  Pairs run side by side, ten to a job.
+    """
+    names = sorted({c for pair in pairs for c in pair})
+    splits = dict(zip(names, column_splits(df, [as_number(c) for c in names])))
+    sizes = df.agg(F.count(F.lit(1)), *[F.count(as_number(c)) for c in names]).first()
+    whole = {c: average_ranks(df.select(as_number(c).alias("v"), F.lit(1).alias("w")), "v", "w", splits[c])
+             for i, c in enumerate(names) if sizes[i + 1] == sizes[0]}
+
+    def one(x: str, y: str) -> DataFrame:
+        cells = _cells(df, x, y)
+        if x in whole and y in whole:
+            return _rank_moments(cells, whole[x], whole[y])
+        return _rank_moments(cells, average_ranks(cells, "x", "c", splits[x]), average_ranks(cells, "y", "c", splits[y]))
+
+    found: list[float | None] = []
+    for start in range(0, len(pairs), 10):
+        parts = [one(x, y).withColumn("i", F.lit(i)) for i, (x, y) in enumerate(pairs[start:start + 10])]
+        for row in sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: r["i"]):
+            scale = math.sqrt((row["xx"] or 0.0) * (row["yy"] or 0.0))
+            found.append(row["xy"] / scale if scale else None)
+    return found
+
+
+def spearman(df: DataFrame, x: str, y: str) -> float | None:
+    return spearman_pairs(df, [(x, y)])[0]
 
 
 # --- Kendall --------------------------------------------------------------
@@ -160,16 +186,13 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str =
         row = df.agg(*[correlation(as_number(names[i]), as_number(names[j])).alias(f"r{i}_{j}") for i, j in upper])
         value = {(i, j): F.col(f"r{i}_{j}") for i, j in upper}
     else:
-        if method == "spearman":
-            numbers = [as_number(c) for c in names]
-            splits = dict(zip(names, column_splits(df, numbers)))
-            one = partial(spearman, splits=splits)
-        else:
-            one = kendall
         row = df.sparkSession.range(1)
         varied = _varied(df, names)
-        value = {(i, j): F.lit((1.0 if i == j else one(df, names[i], names[j]))
-                               if varied[i] and varied[j] else None).cast("double") for i, j in upper}
+        live = [(i, j) for i, j in upper if i < j and varied[i] and varied[j]]
+        pairs = [(names[i], names[j]) for i, j in live]
+        found = spearman_pairs(df, pairs) if method == "spearman" else [kendall(df, a, b) for a, b in pairs]
+        known = dict(zip(live, found)) | {(i, i): 1.0 for i in range(len(names)) if varied[i]}
+        value = {pair: F.lit(known.get(pair)).cast("double") for pair in upper}
     entries = [F.struct(F.lit(names[i]).alias("col_a"), F.lit(names[j]).alias("col_b"),
                         F.round(value[min(i, j), max(i, j)], 4).alias("r"))
                for i in range(len(names)) for j in range(len(names))]

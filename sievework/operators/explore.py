@@ -16,6 +16,7 @@ from sievework.functions.schema import (
     MISSING_LABEL, as_number, col, is_categorical, is_missing, is_numeric, require_categorical,
     require_columns, require_numeric, type_of,
 )
+from sievework.functions.work import spread
 from sievework.operators import profile
 
 MAX_POINTS = 5000
@@ -299,7 +300,7 @@ def density2d(df: DataFrame, x: str, y: str, grid: int = 60) -> DataFrame:
                 total += np.exp(-0.5 * d).sum(axis=1)
         yield pd.DataFrame({"p": np.arange(len(at)), "s": total})
 
-    sums = rows.mapInPandas(add_up, "p int, s double").groupBy("p").agg(F.sum("s").alias("s"))
+    sums = spread(rows).mapInPandas(add_up, "p int, s double").groupBy("p").agg(F.sum("s").alias("s"))
     step_x = (fit["x1"] - fit["x0"]) / max(grid - 1, 1)
     step_y = (fit["y1"] - fit["y0"]) / max(grid - 1, 1)
     i, j = F.pmod(F.col("p"), F.lit(grid)), F.floor(F.col("p") / grid).cast("int")

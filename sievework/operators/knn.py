@@ -166,14 +166,16 @@ def _nearest(queries: pd.DataFrame, refs: pd.DataFrame, z: list[str], targets: l
 
 
 def _search(queries: DataFrame, refs: DataFrame, sizes: dict[int, int], z: list[str], targets: list[str],
-            k: int, out: str) -> DataFrame:
+            k: int, out: str, visits: dict[int, int] | None = None) -> DataFrame:
     """Neighbours of queries (qid, z, radius, box) among the references of that box.
 
-    ``sizes`` holds the reference rows per box.  A box is cut into pieces on
+    ``sizes`` holds the reference rows per box, ``visits`` the queries if known.
+    A box is cut into pieces on
     both sides: queries visit every reference piece once, reference pieces are
     repeated per query piece.
     """
-    visits = {r["box"]: r["n"] for r in queries.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if visits is None:
+        visits = {r["box"]: r["n"] for r in queries.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not visits:
         return queries.sparkSession.createDataFrame([], out)
     pieces = [(b, math.ceil(n / PIECE_ROWS), math.ceil(sizes[b] / PIECE_ROWS)) for b, n in visits.items()]
@@ -195,7 +197,8 @@ def _search(queries: DataFrame, refs: DataFrame, sizes: dict[int, int], z: list[
     return q.groupBy("box", "qp", "rp").cogroup(r.groupBy("box", "qp", "rp")).applyInPandas(nearest, out)
 
 
-def _neighbours(imp: DataFrame, ref: DataFrame, z: list[str], targets: list[str], k: int, n_ref: int) -> DataFrame:
+def _neighbours(imp: DataFrame, ref: DataFrame, z: list[str], targets: list[str], k: int, n_imp: int,
+                n_ref: int) -> DataFrame:
     """``qid, dist, rid, targets``: at least the k nearest references of every row of ``imp``."""
     qid, rid = imp.schema["qid"].dataType.simpleString(), ref.schema["rid"].dataType.simpleString()
     out = f"qid {qid}, dist double, rid {rid}, " + ", ".join(f"{t} double" for t in targets)
@@ -206,9 +209,9 @@ def _neighbours(imp: DataFrame, ref: DataFrame, z: list[str], targets: list[str]
     boxes = min(MAX_BOXES, math.ceil(n_ref / ROWS_PER_BOX))
     depth = max(0, math.ceil(math.log2(boxes)))
     if depth == 0:
-        one = {0: n_ref}
         queries = imp.withColumn("radius", F.lit(math.inf)).withColumn("box", F.lit(0).cast("long"))
-        return _search(queries, ref.withColumn("box", F.lit(0).cast("long")), one, z, targets, k, out)
+        return _search(queries, ref.withColumn("box", F.lit(0).cast("long")), {0: n_ref}, z, targets,
+                       k, out, {0: n_imp})
 
     # The sample only places the cuts; any cuts give the same neighbours.
     sample = ref.orderBy(F.xxhash64("rid")).limit(SAMPLE_PER_BOX * 2 ** depth).select(*z).toPandas()
@@ -290,7 +293,7 @@ def knn_impute(df: DataFrame, cols: Sequence[str], k: int = 5, *, id_col: str,
     ref = df.where(~gap & complete).select(
         col(id_col).alias("rid"), *scaled, *[as_number(c).alias(t) for c, t in zip(cols, targets)])
     k = min(k, plan.n_reference)
-    found = _neighbours(imp, ref, z, targets, k, plan.n_reference)
+    found = _neighbours(imp, ref, z, targets, k, plan.n_can_impute, plan.n_reference)
     best = Window.partitionBy("qid").orderBy("dist", "rid")
     means = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("qid").agg(
         *[F.avg(t).alias(t) for t in targets])

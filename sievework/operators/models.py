@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from sievework.functions.quantiles import quantile
 from sievework.functions.schema import as_number, require_numeric
+from sievework.functions.work import spread
 
 CURVE_POINTS = 200
 
@@ -94,7 +95,7 @@ TOLERANCE = 1e-8
 
 def _fit_robust(rows: DataFrame) -> tuple[float, float]:
     """Slope and intercept by iteratively reweighted least squares."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         m = rows.agg(F.avg("x")).first()[0]
         x, y = F.col("x") - F.lit(m), F.col("y")
@@ -195,13 +196,14 @@ def _local_sums(rows: DataFrame, at: np.ndarray, reach: np.ndarray, smooth: _Smo
             for i in range(0, len(xs), 2048):
                 x, y = xs[i:i + 2048], ys[i:i + 2048]
                 d = x[:, None] - at[None, :]
-                u = np.abs(d) / span
-                w = np.where(u < 1, (1 - np.minimum(u, 1.0) ** 3) ** 3, 0.0)
+                u = np.minimum(np.abs(d) / span, 1.0)
+                w = 1 - u * u * u
+                w = w * w * w
                 if smooth is not None and cut is not None:
-                    r = np.abs(y - smooth.at(x)) / cut
-                    w *= np.where(r < 1, (1 - np.minimum(r, 1.0) ** 2) ** 2, 0.0)[:, None]
-                total += np.stack([w.sum(0), (w * d).sum(0), (w * d * d).sum(0),
-                                   w.T @ y, (w * d).T @ y])
+                    r = np.minimum(np.abs(y - smooth.at(x)) / cut, 1.0)
+                    w *= ((1 - r * r) ** 2)[:, None]
+                wd = w * d
+                total += np.stack([w.sum(0), wd.sum(0), np.einsum("ij,ij->j", wd, d), y @ w, y @ wd])
         yield pd.DataFrame({"a": np.arange(len(at)), **{f"s{j}": total[j] for j in range(5)}})
 
     schema = "a int, " + ", ".join(f"s{j} double" for j in range(5))
@@ -223,7 +225,7 @@ def _residual(smooth: _Smooth):
 
 
 def _fit_lowess(rows: DataFrame, fraction: float, steps: int) -> _Smooth:
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = rows.count()
         at, reach = _anchors(rows, n, fraction)
