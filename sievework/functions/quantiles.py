@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -27,8 +27,10 @@ from sievework.functions.schema import col
 
 # Up to this many rows one task may sort, and about this many values are listed.
 SMALL_ROWS = 50_000
-# Rows drawn to propose an interval, and how many standard errors wide it is.
-SAMPLE_ROWS = 200_000
+# Rows drawn to propose an interval (a tenth, within these bounds), and how many
+# standard errors wide it is.
+SAMPLE_ROWS = 50_000
+MAX_SAMPLE_ROWS = 2_000_000
 STANDARD_ERRORS = 6
 ACCURACY = 5_000
 SEED = 17
@@ -38,76 +40,96 @@ MAX_RANGES = 4096
 
 
 @dataclass
-class _Interval:
-    """A value interval [lo, hi] of one column that should hold the wanted ranks.
+class _Search:
+    """One order statistic of a column and the values [lo, hi] known to hold it.
 
-    ``below`` and ``inside`` are the counted rows, ``slack`` widens the next proposal.
+    ``near`` is the quantile's place between ranks, shared by its two order
+    statistics, so that both search the same intervals.
     """
 
     column: str
+    rank: int
+    near: int
     lo: float
     hi: float
-    ranks: list[int]
     below: int
     inside: int
     slack: float = 1.0
 
-    def holds(self) -> bool:
-        return all(self.below <= r < self.below + self.inside for r in self.ranks)
+    def span(self) -> tuple[str, float, float]:
+        return self.column, self.lo, self.hi
 
 
-def _wanted_ranks(n: int, p: float) -> list[int]:
-    at = p * (n - 1)
-    return sorted({math.floor(at), math.ceil(at)})
-
-
-def _proposed(rows: DataFrame, spans: list[_Interval]) -> list[_Interval]:
-    """A narrower interval for each, from a sample of the rows inside it."""
-    drawn = rows.withColumn("_u", F.rand(SEED))
-    sketches, margins = [], []
-    for i, span in enumerate(spans):
-        share = min(1.0, SAMPLE_ROWS / span.inside)
-        v = F.col(span.column)
-        margin = span.slack * (0.5 * STANDARD_ERRORS / math.sqrt(share * span.inside) + 2 / ACCURACY)
-        margins.append(margin)
-        probs = [max(0.0, (span.ranks[0] - span.below) / span.inside - margin),
-                 min(1.0, (span.ranks[-1] - span.below + 1) / span.inside + margin)]
-        held = F.when(v.between(span.lo, span.hi) & (F.col("_u") < share), v)
+def _draw(inside: int) -> int:
+    return min(inside, max(SAMPLE_ROWS, min(MAX_SAMPLE_ROWS, inside // 10)))
+
+
+def _margin(search: _Search) -> float:
+    return search.slack * (0.5 * STANDARD_ERRORS / math.sqrt(_draw(search.inside)) + 2 / ACCURACY)
+
+
+def _proposed(rows: DataFrame, searches: list[_Search]) -> list[_Search]:
+    """Narrower intervals from a sample of the rows inside; ``inside`` is what to expect in them."""
+    keys = {(s.span(), s.near): s for s in searches}
+    shares = {k: _draw(s.inside) / s.inside for k, s in keys.items()}
+    drawn = rows.withColumn("_u", F.rand(SEED)).where(F.col("_u") < max(shares.values()))
+    sketches = []
+    for i, (k, s) in enumerate(keys.items()):
+        v, margin = F.col(s.column), _margin(s)
+        probs = [max(0.0, (s.near - s.below) / s.inside - margin),
+                 min(1.0, (s.near + 1 - s.below) / s.inside + margin)]
+        held = F.when(v.between(s.lo, s.hi) & (F.col("_u") < shares[k]), v)
         sketches.append(F.percentile_approx(held, probs, ACCURACY).alias(f"s{i}"))
     row = drawn.agg(*sketches).first()
+    ends = {k: row[f"s{i}"] for i, k in enumerate(keys)}
     out = []
-    for i, span in enumerate(spans):
-        lo, hi = row[f"s{i}"] or (span.lo, span.hi)
+    for s in searches:
+        lo, hi = ends[s.span(), s.near] or (s.lo, s.hi)
+        margin = _margin(s)
         # The ends of the sample are not the ends of the data.
-        lo = span.lo if (span.ranks[0] - span.below) / span.inside <= margins[i] else lo
-        hi = span.hi if (span.ranks[-1] - span.below + 1) / span.inside >= 1 - margins[i] else hi
-        expected = math.ceil(2 * margins[i] * span.inside)
-        out.append(_Interval(span.column, lo, hi, span.ranks, span.below, expected, span.slack))
+        lo = s.lo if (s.near - s.below) / s.inside <= margin else lo
+        hi = s.hi if (s.near + 1 - s.below) / s.inside >= 1 - margin else hi
+        out.append(replace(s, lo=lo, hi=hi, inside=math.ceil(2 * margin * s.inside)))
     return out
 
 
-def _counted(rows: DataFrame, spans: list[_Interval]) -> None:
-    """Count the rows below and inside every interval."""
+def _counted(rows: DataFrame, searches: list[_Search]) -> list[_Search | float | None]:
+    """The statistic where it is an end of its interval, what is left of the interval, or None if it lies outside."""
+    spans = list({s.span() for s in searches})
     aggs = []
-    for i, span in enumerate(spans):
-        v = F.col(span.column)
-        aggs += [F.count_if(v < span.lo).alias(f"b{i}"), F.count_if(v.between(span.lo, span.hi)).alias(f"m{i}")]
+    for i, (name, lo, hi) in enumerate(spans):
+        v = F.col(name)
+        aggs += [F.count_if(v < lo).alias(f"b{i}"), F.count_if(v.between(lo, hi)).alias(f"m{i}"),
+                 F.count_if(v == lo).alias(f"l{i}"), F.count_if(v == hi).alias(f"h{i}")]
     row = rows.agg(*aggs).first()
-    for i, span in enumerate(spans):
-        span.below, span.inside = row[f"b{i}"], row[f"m{i}"]
+    out: list[_Search | float | None] = []
+    for s in searches:
+        i = spans.index(s.span())
+        below, inside, at_lo, at_hi = row[f"b{i}"], row[f"m{i}"], row[f"l{i}"], row[f"h{i}"]
+        if not below <= s.rank < below + inside:
+            out.append(None)
+        elif s.rank < below + at_lo:
+            out.append(s.lo)
+        elif s.rank >= below + inside - at_hi:
+            out.append(s.hi)
+        else:
+            out.append(replace(s, lo=float(np.nextafter(s.lo, np.inf)), hi=float(np.nextafter(s.hi, -np.inf)),
+                               below=below + at_lo, inside=inside - at_lo - at_hi, slack=1.0))
+    return out
 
 
-def _listed(rows: DataFrame, spans: list[_Interval]) -> list[dict[int, float]]:
-    """The order statistics each interval was meant to hold; fewer if it does not hold them.
+def _listed(rows: DataFrame, searches: list[_Search]) -> list[float | None]:
+    """The order statistic, or None where the interval does not hold it.
 
     Two scans in one job: plain counts, and a filter that leaves the few rows
     inside an interval to be grouped.
     """
+    spans = list({s.span() for s in searches})
     below, inside, anywhere = [], [], F.lit(False)
-    for i, span in enumerate(spans):
-        v = F.col(span.column)
-        held = v.between(span.lo, span.hi)
-        below.append(F.count_if(v < span.lo).alias(f"b{i}"))
+    for i, (name, lo, hi) in enumerate(spans):
+        v = F.col(name)
+        held = v.between(lo, hi)
+        below.append(F.count_if(v < lo).alias(f"b{i}"))
         inside.append(F.when(held, F.struct(F.lit(i).alias("i"), v.alias("value"))))
         anywhere = anywhere | held
     counts = rows.agg(*below).select(F.inline(F.array(*[
@@ -118,47 +140,39 @@ def _listed(rows: DataFrame, spans: list[_Interval]) -> list[dict[int, float]]:
     seen: list[list[tuple]] = [[] for _ in spans]
     for row in counts.unionByName(values).collect():
         seen[row["i"]].append((row["value"], row["n"]))
+    tables = []
+    for pairs in seen:
+        start = next(n for v, n in pairs if v is None)
+        held = sorted((v, n) for v, n in pairs if v is not None)
+        tables.append((start, held, start + np.cumsum([n for _, n in held], dtype=np.int64)))
     out = []
-    for span, pairs in zip(spans, seen):
-        span.below = next(n for v, n in pairs if v is None)
-        values = sorted((v, n) for v, n in pairs if v is not None)
-        ends = span.below + np.cumsum([n for _, n in values], dtype=np.int64)
-        span.inside = int(ends[-1]) - span.below if values else 0
-        out.append({r: float(values[int(np.searchsorted(ends, r, side="right"))][0])
-                    for r in span.ranks if span.below <= r < span.below + span.inside})
+    for s in searches:
+        start, held, ends = tables[spans.index(s.span())]
+        out.append(float(held[int(np.searchsorted(ends, s.rank, side="right"))][0])
+                   if held and start <= s.rank < ends[-1] else None)
     return out
 
 
-def _statistics(rows: DataFrame, whole: list[_Interval]) -> list[dict[int, float]]:
+def _statistics(rows: DataFrame, searches: list[_Search]) -> list[float]:
     """Exact order statistics, each starting from the whole range of its column."""
-    found: list[dict[int, float]] = [{} for _ in whole]
-    # Position -> the last interval known to hold the statistic.
-    open_ = dict(enumerate(whole))
-    while open_:
-        for i in [i for i, span in open_.items() if span.lo == span.hi]:
-            span = open_.pop(i)
-            found[i] = {r: span.lo for r in span.ranks}
-        if not open_:
-            break
-        wide = [i for i, span in open_.items() if span.inside > SMALL_ROWS]
-        narrow = dict(open_)
-        for i, span in zip(wide, _proposed(rows, [open_[i] for i in wide]) if wide else []):
-            narrow[i] = span
-        if all(span.inside <= 2 * SMALL_ROWS for span in narrow.values()):
-            for i, statistics in zip(list(narrow), _listed(rows, list(narrow.values()))):
-                if len(statistics) == len(narrow[i].ranks):
-                    found[i] = statistics
-                    del open_[i]
-                else:
-                    open_[i].slack *= 4
-            continue
-        _counted(rows, list(narrow.values()))
-        for i, span in narrow.items():
-            if span.holds():
-                open_[i] = span
+    found: dict[int, float] = {}
+    left = dict(enumerate(searches))
+    while left:
+        wide = {i: s for i, s in left.items() if s.inside > SMALL_ROWS}
+        tried = dict(left)
+        if wide:
+            tried.update(zip(wide, _proposed(rows, list(wide.values()))))
+        short = all(s.inside <= 2 * SMALL_ROWS for s in tried.values())
+        results = (_listed if short else _counted)(rows, list(tried.values()))
+        for i, result in zip(tried, results):
+            if result is None:
+                left[i] = replace(left[i], slack=left[i].slack * 4)
+            elif isinstance(result, _Search):
+                left[i] = result
             else:
-                open_[i].slack *= 4
-    return found
+                found[i] = result
+                del left[i]
+    return [found[i] for i in range(len(searches))]
 
 
 def quantiles(df: DataFrame, values: Mapping[str, Column],
@@ -180,18 +194,22 @@ def quantiles(df: DataFrame, values: Mapping[str, Column],
         # Few enough rows for one task, as counted above.
         row = rows.agg(*[F.percentile(v, probs).alias(v) for v in names.values()]).first()
         return {name: list(row[v] or [None] * len(probs)) for name, v in names.items()}
-    asked = [(name, p) for name in values if sizes[name] for p in probs]
-    spans = [_Interval(v, first[f"{v}_lo"], first[f"{v}_hi"], _wanted_ranks(sizes[name], p), 0, sizes[name])
-             for name, p in asked for v in [names[name]]]
-    found = dict(zip(asked, _statistics(rows, spans)))
-    return {name: [_interpolated(found.get((name, p), {}), sizes[name], p) for p in probs] for name in values}
-
-
-def _interpolated(picked: Mapping[int, float], n: int, p: float) -> float | None:
+    searches = {}
+    for name, v in names.items():
+        for p in probs if sizes[name] else []:
+            at = p * (sizes[name] - 1)
+            for rank in (math.floor(at), math.ceil(at)):
+                searches[name, rank] = _Search(
+                    v, rank, math.floor(at), first[f"{v}_lo"], first[f"{v}_hi"], 0, sizes[name])
+    found = dict(zip(searches, _statistics(rows, list(searches.values()))))
+    return {name: [_interpolated(found, name, sizes[name], p) for p in probs] for name in values}
+
+
+def _interpolated(found: Mapping[tuple[str, int], float], name: str, n: int, p: float) -> float | None:
     if n == 0:
         return None
     at = p * (n - 1)
-    low, high = picked[math.floor(at)], picked[math.ceil(at)]
+    low, high = found[name, math.floor(at)], found[name, math.ceil(at)]
     return low + (high - low) * (at - math.floor(at))
 
 

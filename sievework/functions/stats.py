@@ -33,11 +33,21 @@ def sample_kurtosis(x: Column) -> Column:
     return F.when(n >= 4, scale * ((n + 1) * F.kurtosis(x) + 6))
 
 
+def deviation(x: Column, sample: bool = False) -> Column:
+    """Standard deviation that is exactly zero for a constant column.
+
+    Merging partial sums of equal values may leave a rounding error, so
+    constancy is read off the smallest and largest value.
+    """
+    std = F.stddev_samp(x) if sample else F.stddev_pop(x)
+    return F.when(F.min(x) < F.max(x), std).when(F.count(x) > 0, F.lit(0.0))
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson r over the complete pairs; NULL when a side is constant."""
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return F.covar_pop(a, b) / F.nullif(deviation(a) * deviation(b), F.lit(0.0))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

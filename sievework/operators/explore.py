@@ -280,7 +280,7 @@ def density2d(df: DataFrame, x: str, y: str, grid: int = 60) -> DataFrame:
     if fit["n"] < 2:
         raise ValueError("At least two valid points are required for a density")
     cov = np.array([[fit["xx"], fit["xy"]], [fit["xy"], fit["yy"]]]) * fit["n"] ** (-1 / 3)
-    if not np.all(np.isfinite(cov)) or np.linalg.det(cov) <= 0:
+    if fit["x0"] == fit["x1"] or fit["y0"] == fit["y1"] or np.linalg.det(cov) <= 0:
         raise ValueError("The pairs lie on a line; no density exists")
     # Coordinates in which the kernel is the unit circle.
     whiten = np.linalg.inv(np.linalg.cholesky(cov))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions.schema import as_number, col, is_missing, numeric_columns, require_columns, require_numeric
+from sievework.functions.stats import deviation
 from sievework.functions.work import settle
 
 ROWS_PER_BOX = 4096
@@ -70,7 +71,7 @@ def _fit(df: DataFrame, cols: Sequence[str], features: Sequence[str] | None) ->
     aggs = [F.count_if(gap & complete).alias("can"), F.count_if(~gap & complete).alias("ref")]
     for i, c in enumerate(usable):
         x = F.when(~gap & complete, as_number(c))
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+        aggs += [F.avg(x).alias(f"m{i}"), deviation(x).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     if row["can"] and not row["ref"]:
         raise ValueError("No rows with valid targets and features to learn from")

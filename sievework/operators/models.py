@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from sievework.functions.quantiles import quantile
 from sievework.functions.schema import as_number, require_numeric
+from sievework.functions.stats import deviation
 from sievework.functions.work import spread
 
 CURVE_POINTS = 200
@@ -54,7 +55,7 @@ def _coefficients(spark, coefficients: Sequence[float]) -> DataFrame:
 def _fit_poly(rows: DataFrame, order: int) -> np.ndarray:
     if not 1 <= order <= 5:
         raise ValueError("order must be between 1 and 5")
-    row = rows.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
+    row = rows.agg(F.avg("x").alias("m"), deviation(F.col("x")).alias("s")).first()
     m, s = row["m"], row["s"] or 1.0
     z = (F.col("x") - F.lit(m)) / F.lit(s)
     powers = [F.lit(1.0)]
@@ -95,6 +96,8 @@ TOLERANCE = 1e-8
 
 def _fit_robust(rows: DataFrame) -> tuple[float, float]:
     """Slope and intercept by iteratively reweighted least squares."""
+    if not rows.agg(deviation(F.col("x"))).first()[0]:
+        raise ValueError("x is constant; no line can be fitted")
     rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         m = rows.agg(F.avg("x")).first()[0]
@@ -104,8 +107,6 @@ def _fit_robust(rows: DataFrame) -> tuple[float, float]:
             row = rows.agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"),
                            F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy")).first()
             det = row["w"] * row["wxx"] - row["wx"] ** 2
-            if not det:
-                raise ValueError("x is constant; no line can be fitted")
             slope = (row["w"] * row["wxy"] - row["wx"] * row["wy"]) / det
             return slope, (row["wy"] - slope * row["wx"]) / row["w"]
 

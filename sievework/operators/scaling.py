@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.quantiles import quantiles
 from sievework.functions.schema import as_number, col, require_numeric, type_of
+from sievework.functions.stats import deviation
 
 METHODS = ("standard", "minmax", "robust")
 
@@ -28,7 +29,7 @@ def fit_scale(df: DataFrame, cols: Sequence[str], method: str = "standard") -> d
         for i, c in enumerate(cols):
             x = as_number(c)
             if method == "standard":
-                aggs += [F.avg(x).alias(f"c{i}"), F.stddev_pop(x).alias(f"w{i}")]
+                aggs += [F.avg(x).alias(f"c{i}"), deviation(x).alias(f"w{i}")]
             else:
                 aggs += [F.min(x).alias(f"c{i}"), (F.max(x) - F.min(x)).alias(f"w{i}")]
         row = df.agg(*aggs).first()
@@ -53,7 +54,7 @@ def zscore(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
     """New column (x - mean) / sample std."""
     require_numeric(df, [column])
     x = as_number(column)
-    row = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).first()
+    row = df.agg(F.avg(x).alias("mean"), deviation(x, sample=True).alias("std")).first()
     if not row["std"]:
         raise ValueError(f"Column '{column}' cannot be standardized because its std is 0 or missing")
     return df.withColumn(into or f"{column}_zscore", (x - F.lit(row["mean"])) / F.lit(row["std"]))
