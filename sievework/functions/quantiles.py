@@ -265,11 +265,13 @@ def with_range(df: DataFrame, name: str, splits: Sequence[float], into: str) ->
 
 
 def running_total(df: DataFrame, value: str, weight: str, splits: Sequence[float],
-                  into: str, total: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+                  into: str, total: str | None = None, by: Sequence[str] = (), wanted=None) -> DataFrame:
     """Sum of ``weight`` over all rows of the group up to and including this value.
 
     ``df`` has one row per (group, value).  Every value range is summed on its
-    own; the totals of the ranges before it come from a small table.
+    own; the totals of the ranges before it come from a small table.  With
+    ``wanted``, a condition on the weight before, in and of all ranges of the
+    group, only the rows of ranges that meet it are sorted and returned.
     """
     by = list(by)
     if not splits:
@@ -285,6 +287,8 @@ def running_total(df: DataFrame, value: str, weight: str, splits: Sequence[float
         .withColumn("_before", F.sum("_held").over(upto) - F.col("_held"))
         .withColumn("_total", F.sum("_held").over(Window.partitionBy(*[col(c) for c in by])))
     )
+    if wanted is not None:
+        offsets = offsets.where(wanted(F.col("_before"), F.col("_held"), F.col("_total")))
     renamed = offsets.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(by)],
                              F.col("_range").alias("_r"), "_before", "_total")
     match = F.col("_range") == F.col("_r")
@@ -309,7 +313,15 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: Column,
     known = df.select(*[col(c) for c in by], value.cast("double").alias("_v")).where("_v is not null")
     splits = range_splits(known, F.col("_v"), ranges)
     cells = known.groupBy(*[col(c) for c in by], "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_total(cells, "_v", "_c", splits, "_upto", "_n", by)
+
+    def holds_rank(before: Column, held: Column, n: Column) -> Column:
+        hit = F.lit(False)
+        for p in probs.values():
+            for rank in (F.floor(F.lit(float(p)) * (n - 1)), F.ceil(F.lit(float(p)) * (n - 1))):
+                hit = hit | ((rank >= before) & (rank < before + held))
+        return hit
+
+    ranked = running_total(cells, "_v", "_c", splits, "_upto", "_n", by, holds_rank)
     picks = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)

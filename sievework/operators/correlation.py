@@ -183,7 +183,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str =
         raise ValueError("Need at least 2 numeric columns for a correlation matrix")
     upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     if method == "pearson":
-        row = df.agg(*[correlation(as_number(names[i]), as_number(names[j])).alias(f"r{i}_{j}") for i, j in upper])
+        def one(i: int, j: int) -> Column:
+            a, b = as_number(names[i]), as_number(names[j])
+            return correlation(a, b) if i < j else F.when(F.min(a) < F.max(a), F.lit(1.0))
+
+        row = df.agg(*[one(i, j).alias(f"r{i}_{j}") for i, j in upper])
         value = {(i, j): F.col(f"r{i}_{j}") for i, j in upper}
     else:
         row = df.sparkSession.range(1)
