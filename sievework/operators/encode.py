@@ -20,7 +20,9 @@ def _text_splits(values: DataFrame, n: int) -> list[str]:
     ranges = min(1024, -(-n // VALUES_PER_RANGE))
     if ranges < 2:
         return []
-    drawn = sorted(r["v"] for r in values.orderBy(F.xxhash64("v")).limit(SPLIT_CANDIDATES).collect())
+    drawn = sorted(r["v"] for r in values.sample(min(1.0, SPLIT_CANDIDATES / n), seed=1).collect())
+    if not drawn:
+        return []
     return sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)})
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,8 @@ from sievework.functions.work import spread
 from sievework.operators import profile
 
 MAX_POINTS = 5000
+# Leaves the upper 16 bits of a hash.
+HASH_SHIFT = 48
 # Up to this many labels a table with one row per label is broadcast.
 MAX_LABELS = 10_000
 
@@ -151,10 +152,19 @@ def sample(df: DataFrame, n: int = MAX_POINTS, key: Sequence[str] | None = None,
     """Exactly ``n`` rows (or all) without replacement, the same ones on every run.
 
     Rows are ranked by a hash of ``key`` (None: the whole row) and the first
-    ``n`` are kept, so every task passes on at most ``n`` rows.
+    ``n`` are kept.  Row counts per hash range tell from which range on no row
+    can be among them, so only about ``n`` rows are ever sorted.
     """
     names = list(key) if key else df.columns
-    return df.orderBy(F.xxhash64(F.lit(seed), *[col(c) for c in names])).limit(n)
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[col(c) for c in names]))
+    part = F.shiftright("_h", HASH_SHIFT)
+    sizes = hashed.groupBy(part.alias("b")).agg(F.count(F.lit(1)).alias("held"))
+    # At most 65,536 hash ranges.
+    before = F.sum("held").over(Window.orderBy("b")) - F.col("held")
+    last = sizes.select("b", before.alias("before")).where(F.col("before") < n).agg(F.max("b")).first()[0]
+    if last is None:
+        return df.where(F.lit(False))
+    return hashed.where(part <= last).orderBy("_h").limit(n).select(*[col(c) for c in df.columns])
 
 
 def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, n: int = MAX_POINTS,
@@ -211,7 +221,7 @@ def grouped_raw_line(df: DataFrame, x: str, y: str, group: str, n: int = MAX_POI
     names = list(key) if key else df.columns
     rows = df.select(group_label(df, group).alias("label"), as_number(x).alias("x"), as_number(y).alias("y"),
                      F.xxhash64(F.lit(seed), *[col(c) for c in names]).alias("_h"))
-    rows = rows.where("x is not null and y is not null").withColumn("_b", F.shiftright("_h", 48))
+    rows = rows.where("x is not null and y is not null").withColumn("_b", F.shiftright("_h", HASH_SHIFT))
     # Rows per label and hash range tell from which range on no row can be among the first n.
     sizes = rows.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("held"))
     before = F.sum("held").over(Window.partitionBy("label").orderBy("_b")) - F.col("held")

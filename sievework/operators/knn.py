@@ -215,7 +215,7 @@ def _neighbours(imp: DataFrame, ref: DataFrame, z: list[str], targets: list[str]
                        k, out, {0: n_imp})
 
     # The sample only places the cuts; any cuts give the same neighbours.
-    sample = ref.orderBy(F.xxhash64("rid")).limit(SAMPLE_PER_BOX * 2 ** depth).select(*z).toPandas()
+    sample = ref.select(*z).sample(min(1.0, SAMPLE_PER_BOX * 2 ** depth / n_ref), seed=1).toPandas()
     tree = _grow(sample.to_numpy(dtype=float), depth)
 
     @F.pandas_udf(T.LongType())
