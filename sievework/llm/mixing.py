@@ -121,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The new columns have ``prefix`` before their names.
     """
     cuts = settle(plan(docs, id_col, text_col, source_col, weights, total_share, most, seed)
-                  .select(*(F.col(c).alias(f"__cut_{c}") for c in ("source", "source_size", "target", "epochs", "fine", "cut"))))
+                  .select(*(F.col(c).alias(f"__cut_{c}") for c in ("source", "source_size", "target", "epochs", "rest", "fine", "cut"))))
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
     size = word_count(text_col)
@@ -133,5 +133,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.struct(F.col("__key").alias("key"), F.col(id_col).alias("id")) <= F.col("__cut_cut"), F.lit(False)))
     return own.withColumns({
         prefix + "source_size": F.col("__cut_source_size"), prefix + "target": F.col("__cut_target"),
-        prefix + "copies": F.col("__cut_epochs") + inside.cast("long"),
-    }).drop("__key", *(f"__cut_{c}" for c in ("source", "source_size", "target", "epochs", "fine", "cut")))
+        prefix + "copies": F.col("__cut_epochs") + (inside & (F.col("__cut_rest") > 0)).cast("long"),
+    }).drop("__key", *(f"__cut_{c}" for c in ("source", "source_size", "target", "epochs", "rest", "fine", "cut")))

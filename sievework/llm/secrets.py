@@ -304,8 +304,12 @@ def scan(docs: DataFrame, rules: Sequence[SecretRule] = BASE + MORE, text_col: s
 
 def digest_columns(found: DataFrame, spans_col: str = "secret_spans", kinds: Sequence[str] = ("assign", "access", "hex")):
     """Counts by kind, the digest of the spans of ``kinds``, and all spans as text."""
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
-        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    base = F.filter(spans_col, lambda s: s["kind"].isin(*kinds))
-    return [*(F.size(F.filter(spans_col, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds),
-            F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col(spans_col)).alias("spans")]
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(*names: str):
+        return F.filter(spans_col, lambda s: s["kind"].isin(*names))
+
+    return [*(F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds),
+            F.sha2(joined(of(*kinds)).cast("binary"), 256).alias("base_sha256"), joined(F.col(spans_col)).alias("spans")]
