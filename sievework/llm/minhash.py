@@ -68,8 +68,10 @@ def bands(sketch: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return texts.mix(keys + texts.mix(np.arange(1, n + 1, dtype=np.uint64)))
 
 
-#: Members of a bucket that one task compares with each other.
-BLOCK = 1024
+#: Members of a bucket in one block; a group compares two blocks.
+BLOCK = 256
+#: Shingles that a group compares in one step.
+COLUMNS = 8192
 #: Shingles of the members that are compared with one leader in one group.
 GROUP_SHINGLES = 250_000
 #: Bits of the filter of wanted documents: 16 for each of them, but no more than 2^27 (16 MB).
@@ -153,38 +155,84 @@ def _verify(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
     return leaders.unionByName(members).groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
-def _between_parts(members: DataFrame, per_mille: int) -> DataFrame:
-    """Pairs (a, b, size) of a bucket's members that lie in different components and may be similar enough.
+def _candidates(table: pa.Table, per_mille: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows to compare it with) in a group of two blocks of a bucket's members.
+
+    Only members of different components whose counts allow the similarity,
+    and only in the first bucket that both share.
+    """
+    node, part, n, able, mine = (table.column(c).to_numpy() for c in ("node", "component", "n", "able", "mine"))
+    key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+    keys = np.stack(table.column("bands").to_pylist()).astype(np.int64)
+    band = int(np.flatnonzero((keys == key).all(axis=0))[0])
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    for x in left.tolist():
+        y = right[(part[right] != part[x]) & ((node[right] > node[x]) if i == j else True)]
+        y = y[(1000 + per_mille) * np.minimum(able[y], able[x]) >= per_mille * (n[y] + n[x])]
+        y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+        if len(y):
+            yield x, y
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many items each of the left sets shares with each of the right ones."""
+    used = np.unique(np.concatenate((left, right)))
+    place = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    items, number, often = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True, return_counts=True)
+    number = (np.cumsum(often > 1) - 1)[number.reshape(-1)], (often > 1)[number.reshape(-1)]
+    column, place = number[0][number[1]], place[number[1]]
+    order = np.argsort(column, kind="stable")
+    column, place = column[order], place[order]
+    rows, cols = np.searchsorted(used, left), np.searchsorted(used, right)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int((often > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        has = np.zeros((len(used), COLUMNS), np.float32)
+        has[place[a:b], column[a:b] - start] = 1
+        out += has[rows] @ has[cols].T
+    return out
+
+
+def _between_parts(members: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
+    """Links (a, b) between different components within a bucket, one for each two components of a group.
 
     ``members`` has key, node, component, n, able (shingles that another member
-    has too) and bands.  Buckets are compared in blocks; a pair is given by the
-    first bucket its members share, and only if the counts allow the similarity.
+    has too) and bands.  Buckets are compared in pairs of blocks.  A first pass
+    finds who has anyone to be compared with, so that only their sets travel;
+    the pairs themselves are never written.
     """
     blocks = members.groupBy("key").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
     own = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # A member meets every block of its bucket once: as the smaller or the larger of two block numbers.
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                           "mine", "node", "component", "n", "able", "bands")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, part, n, able, mine = (table.column(c).to_numpy() for c in ("node", "component", "n", "able", "mine"))
-        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
-        keys = np.stack(table.column("bands").to_pylist()).astype(np.int64)
-        band = int(np.flatnonzero((keys == key).all(axis=0))[0])
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out_a, out_b, size = [], [], []
-        for x in left.tolist():
-            y = right[(part[right] != part[x]) & ((node[right] > node[x]) if i == j else True)]
-            both = n[y] + n[x]
-            y = y[(1000 + per_mille) * np.minimum(able[y], able[x]) >= per_mille * both]
-            y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
-            out_a += np.minimum(node[y], node[x]).tolist()
-            out_b += np.maximum(node[y], node[x]).tolist()
-            size += np.maximum(n[y], n[x]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "size": pa.array(size, pa.int64())})
-
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, size long")
+    columns = ("key", "i", "j", "mine", "node", "component", "n", "able", "bands")
+    spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select(*columns)
+
+    def involved(table: pa.Table) -> pa.Table:
+        used = set()
+        for x, y in _candidates(table, per_mille):
+            used.add(x)
+            used.update(y.tolist())
+        return table.select(columns).take(pa.array(sorted(used), pa.int64()))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, part, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        pairs = list(_candidates(table, per_mille))
+        found = {}
+        if pairs:
+            left, right = np.array([x for x, _ in pairs]), np.unique(np.concatenate([y for _, y in pairs]))
+            both = _common(items, left, right)
+            for row, (x, y) in enumerate(pairs):
+                shared = both[row, np.searchsorted(right, y)].astype(np.int64)
+                for other in y[1000 * shared >= per_mille * (n[x] + n[y] - shared)].tolist():
+                    found.setdefault((part[x], part[other]), (int(node[x]), int(node[other])))
+        return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()),
+                         "b": pa.array([b for _, b in found.values()], pa.int64())})
+
+    schema = "key long, i long, j long, mine long, node long, component long, n long, able long, bands array<long>"
+    light = spread.groupBy("key", "i", "j").applyInArrow(involved, schema)
+    return light.join(sets.select("node", "n", "items"), ["node", "n"]).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -232,7 +280,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = (mixed.join(alone, "node", "left").withColumn("able", F.col("n") - F.coalesce("alone", F.lit(0)))
             .where(1000 * F.col("able") >= per_mille * F.col("n")))
     able = _still_mixed(able).join(nodes.select("node", "n", "bands"), ["node", "n"])
-    more = _verify(settle(_between_parts(able, per_mille).groupBy("a", "b").agg(F.max("size").alias("size"))), sets, per_mille)
+    more = _between_parts(able, sets, per_mille)
     parts = components(links.unionByName(more))
 
     named = table.join(nodes.select("digest", "node"), "digest", "left").join(parts, "node", "left")
