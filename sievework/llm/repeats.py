@@ -68,10 +68,9 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     return first, last, low[first]
 
 
-def ragged(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The given spans of data, end to end."""
-    before = np.cumsum(sizes) - sizes
-    return data[np.arange(int(sizes.sum())) - np.repeat(before - starts, sizes)]
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions in the given spans, end to end."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
 def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -176,7 +175,7 @@ class _Chunk:
         if single.any():
             # Windows of hot anchors stand alone, each under its own hash.
             windows = (last - first + 1)[single]
-            begin = ragged(np.arange(len(self.data)), first[single], windows)
+            begin = places(first[single], windows)
             own = texts.span_hash(prefix, down, begin, begin + LENGTH)
             first = np.concatenate((first[~single], begin))
             last = np.concatenate((last[~single], begin))
@@ -194,6 +193,12 @@ class _Chunk:
         return (at, key[lead], first[lead], size[lead], doc[lead]), (first, size, doc, owner, number)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one after the other; a batch may hold a whole bucket of chunks."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _pack(docs: DataFrame, chunk: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -214,7 +219,7 @@ def _digests(chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ends = np.cumsum(row["sizes"]).tolist()
                 found = [hashlib.sha256(row["data"][e - s:e]).digest() for s, e in zip(row["sizes"], ends)]
                 n = len(found)
@@ -229,7 +234,7 @@ def _digests(chunks: DataFrame) -> DataFrame:
 def _ask(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 found, _, often, group = _Chunk(row).values(groups)
                 cuts = np.searchsorted(group, np.arange(groups + 1))  # groups follow the order of anchors
                 used = np.flatnonzero(np.diff(cuts)).tolist()
@@ -262,7 +267,7 @@ def _answer(table: pa.Table) -> pa.Table:
 def _send(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk = _Chunk(row)
                 (group, key, first, size, doc), _ = chunk.stretches(groups, row["flags"] or [])
                 order = np.argsort(group, kind="stable")
@@ -274,7 +279,7 @@ def _send(groups: int):
                     pa.array([key[o].tobytes() for o in own], pa.binary()),
                     pa.array([size[o].astype("<u4").tobytes() for o in own], pa.binary()),
                     pa.array([doc[o].tobytes() for o in own], pa.binary()),
-                    pa.array([ragged(chunk.data, first[o], size[o]).tobytes() for o in own], pa.binary())],
+                    pa.array([chunk.data[places(first[o], size[o])].tobytes() for o in own], pa.binary())],
                     names=["group", "chunk", "keys", "sizes", "docs", "data"])
     return run
 
@@ -285,10 +290,15 @@ def _compare(table: pa.Table) -> pa.Table:
     size = np.concatenate([np.frombuffer(x, "<u4") for x in columns["sizes"]]).astype(np.int64)
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in columns["keys"]])
     doc = np.concatenate([np.frombuffer(x, np.int64) for x in columns["docs"]])
-    data = np.frombuffer(b"".join(columns["data"]), np.uint8)
+    hashes = []
+    for raw, sizes in zip(columns["data"], columns["sizes"]):  # one by one: hashing takes many times the bytes
+        own = np.frombuffer(sizes, "<u4").astype(np.int64)
+        prefix, down = texts.prefix_hash(np.frombuffer(raw, np.uint8))
+        ends = np.cumsum(own)
+        hashes.append(texts.span_hash(prefix, down, ends - own, ends) + texts.mix(own.astype(np.uint64)))
+    whole = np.concatenate(hashes)
+    data = np.frombuffer(b"".join(columns.pop("data")), np.uint8)
     start = np.cumsum(size) - size
-    prefix, down = texts.prefix_hash(data)
-    whole = texts.span_hash(prefix, down, start, start + size) + texts.mix(size.astype(np.uint64))
     order = np.lexsort((doc, whole, key))
     change = np.r_[True, (whole[order][1:] != whole[order][:-1]) | (key[order][1:] != key[order][:-1])]
     number = np.empty(len(order), np.int64)
@@ -307,15 +317,15 @@ def _compare(table: pa.Table) -> pa.Table:
             till += 1
         own = many[at:till]
         at = till
-        begins = ragged(np.arange(len(data)), start[lead[own]], windows[own])
+        begins = places(start[lead[own]], windows[own])
         stretch = np.repeat(own, windows[own])
         repeats, sorted_rows = maximal_repeats(data, begins, (start + size)[lead[stretch]], key[lead[stretch]], stretch)
         slot = (base[stretch] + begins - start[lead[stretch]])[sorted_rows]
         smallest = doc[lead[stretch]][sorted_rows]
         for length, left, right in repeats:
-            low, places = smallest[left:right + 1].min(), slot[left:right + 1]
+            low, at_all = smallest[left:right + 1].min(), slot[left:right + 1]
             for ahead in range(length - LENGTH + 1):
-                best[places + ahead] = np.minimum(best[places + ahead], low)
+                best[at_all + ahead] = np.minimum(best[at_all + ahead], low)
     out = []
     row_of = np.repeat(np.arange(len(columns["sizes"])), [len(x) // 4 for x in columns["sizes"]])
     cuts = np.searchsorted(row_of, np.arange(len(columns["sizes"]) + 1))
@@ -324,7 +334,7 @@ def _compare(table: pa.Table) -> pa.Table:
         n = windows[own]
         local = np.repeat(np.arange(b - a), n)
         window = np.arange(len(local)) - np.repeat(np.cumsum(n) - n, n)
-        value = best[ragged(np.arange(len(best)), base[own], n)]
+        value = best[places(base[own], n)]
         better = value < doc[a:b][local]
         new = better & np.r_[True, ~better[:-1] | (value[1:] != value[:-1]) | (local[1:] != local[:-1])][:len(better)]
         last = better & np.r_[~better[1:] | new[1:], True][:len(better)]
@@ -337,7 +347,7 @@ def _compare(table: pa.Table) -> pa.Table:
 def _remove(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk = _Chunk(row)
                 (group, _, _, size, doc), (first, sizes, owner_doc, owner, number) = chunk.stretches(groups, row["flags"] or [])
                 windows = size - LENGTH + 1
@@ -349,14 +359,14 @@ def _remove(groups: int):
                     own = order[cuts[f["group"]]:cuts[f["group"] + 1]]
                     at, low, high = (np.frombuffer(f[c], "<u4").astype(np.int64) for c in ("stretch", "first", "last"))
                     value, n = np.frombuffer(f["doc"], np.int64), high - low + 1
-                    slots = ragged(np.arange(len(best)), base[own[at]] + low, n)
+                    slots = places(base[own[at]] + low, n)
                     best[slots] = np.minimum(best[slots], np.repeat(value, n))
                 n = sizes - LENGTH + 1
-                gone = ragged(best, base[number], n) < np.repeat(owner_doc, n)
-                places = ragged(np.arange(len(chunk.data)), first, n)[gone]
+                gone = best[places(base[number], n)] < np.repeat(owner_doc, n)
+                hit = places(first, n)[gone]
                 change = np.zeros(len(chunk.data) + 1, np.int64)
-                np.add.at(change, places, 1)
-                np.add.at(change, places + LENGTH, -1)
+                np.add.at(change, hit, 1)
+                np.add.at(change, hit + LENGTH, -1)
                 removed = np.cumsum(change[:-1]) > 0
                 for i in np.flatnonzero(chunk.copies).tolist():
                     if chunk.offs[i + 1] - chunk.offs[i] >= LENGTH:
