@@ -35,7 +35,11 @@ GRAM = 20
 CHUNK = 1 << 20
 BUCKET = 24 << 20
 #: Bytes of text for each group that anchors are compared in.
-GROUP = 24 << 20
+GROUP = 16 << 20
+#: Bytes to which suffixes are compared.
+REACH = 128
+#: Windows that one suffix array takes in, unless one anchor has more.
+SUFFIXES = 200_000
 #: An anchor in more chunks than this is compared window by window, in as many groups as it has windows.
 HOT_CHUNKS = 256
 
@@ -95,8 +99,11 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, grou
 
     Suffixes begin at ``starts`` and end at ``ends``; only those of one group
     are compared.  ``owner`` is the stretch a suffix lies in: at its beginning
-    the byte before counts as different from all others.
+    the byte before counts as different from all others.  Suffixes are compared
+    to ``REACH`` bytes; a repeat that is longer is given at every place from
+    which it still has that length.
     """
+    ends = np.minimum(ends, starts + REACH)
     reach = int((ends - starts).max())
     words = -(-reach // 8)
     padded = np.concatenate((data, np.zeros(8 * words + 8, np.uint8)))
@@ -133,7 +140,7 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, grou
     for a, z in zip(opens.tolist(), closes.tolist()):
         found = [(int(lcp[z]), 0, 1)] if z - a == 1 else intervals(lcp[a:z + 1], least)
         for length, left, right in found:
-            if (before[a + left:a + right + 1] != before[a + left]).any():
+            if length == REACH or (before[a + left:a + right + 1] != before[a + left]).any():
                 out.append((length, a + left, a + right))
     return out, order
 
@@ -310,9 +317,9 @@ def _compare(table: pa.Table) -> pa.Table:
     _, of_key, n_key = np.unique(key[lead], return_inverse=True, return_counts=True)
     many = np.flatnonzero(n_key[of_key.reshape(-1)] > 1)
     # Suffixes under one anchor are compared; anchors with one stretch need no comparison.
-    at = 0
+    at, load = 0, np.cumsum(windows[many])
     while at < len(many):
-        till = min(len(many), at + 50_000)
+        till = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + SUFFIXES)))
         while till < len(many) and key[lead[many[till]]] == key[lead[many[till - 1]]]:
             till += 1
         own = many[at:till]
@@ -324,8 +331,8 @@ def _compare(table: pa.Table) -> pa.Table:
         smallest = doc[lead[stretch]][sorted_rows]
         for length, left, right in repeats:
             low, at_all = smallest[left:right + 1].min(), slot[left:right + 1]
-            for ahead in range(length - LENGTH + 1):
-                best[at_all + ahead] = np.minimum(best[at_all + ahead], low)
+            covered = at_all[:, None] + np.arange(length - LENGTH + 1)
+            best[covered] = np.minimum(best[covered], low)
     out = []
     row_of = np.repeat(np.arange(len(columns["sizes"])), [len(x) // 4 for x in columns["sizes"]])
     cuts = np.searchsorted(row_of, np.arange(len(columns["sizes"]) + 1))
