@@ -20,6 +20,9 @@ def _fit(c: str, n: int, rows: str) -> str:
 def _edges(b: str, n: int) -> str:
     return f"round(lo + {b} * w, 6) AS lo, round(CASE WHEN {b} = {n - 1} THEN hi ELSE lo + ({b} + 1) * w END, 6) AS hi"
 
+#: Rows that the sampling queries take: fewer than any of the tables has.
+SAMPLED = 150
+
 
 @query("category_counts", f"""
 SELECT coalesce(o_orderpriority, '<<MISSING>>') AS category, count(*) AS "value" FROM ({PRIORITISED}) GROUP BY 1""")
@@ -88,9 +91,9 @@ def _(spark, folder):
     return rounded(explore.line(lines(spark, folder), "l_extendedprice", "l_quantity"), 6, "x", "y")
 
 
-@query("line_raw", "SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part")
+@query("line_raw", f"SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part ORDER BY md5('0:' || p_partkey) LIMIT {SAMPLED}")
 def _(spark, folder):
-    return explore.raw_line(table(spark, folder, "part"), "p_size", "p_retailprice", n=100_000, key=["p_partkey"])
+    return explore.raw_line(table(spark, folder, "part"), "p_size", "p_retailprice", n=SAMPLED, key=["p_partkey"])
 
 
 @query("line_grouped", _line("lineitem", "l_extendedprice", "l_quantity", 20, "l_returnflag"))
@@ -98,9 +101,10 @@ def _(spark, folder):
     return rounded(explore.grouped_line(lines(spark, folder), "l_extendedprice", "l_quantity", "l_returnflag", 20), 6, "x", "y")
 
 
-@query("line_grouped_raw", "SELECT p_type AS label, p_size::DOUBLE AS x, p_retailprice AS y FROM part")
+@query("line_grouped_raw", f"""SELECT p_type AS label, p_size::DOUBLE AS x, p_retailprice AS y FROM part
+QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY md5('0:' || p_partkey)) <= {SAMPLED}""")
 def _(spark, folder):
-    return explore.grouped_raw_line(table(spark, folder, "part"), "p_size", "p_retailprice", "p_type", n=100_000, key=["p_partkey"])
+    return explore.grouped_raw_line(table(spark, folder, "part"), "p_size", "p_retailprice", "p_type", n=SAMPLED, key=["p_partkey"])
 
 
 def _group_histogram(rows: str, c: str, n: int, normalize: bool) -> str:
@@ -147,9 +151,9 @@ def _(spark, folder):
     return rounded(explore.joint(table(spark, folder, "part"), "p_size", "p_retailprice")["marginals"], 6, "lo", "hi")
 
 
-@query("joint_points", "SELECT p_size, p_retailprice FROM part")
+@query("joint_points", f"SELECT p_size, p_retailprice FROM part ORDER BY md5('0:' || p_partkey) LIMIT {SAMPLED}")
 def _(spark, folder):
-    return explore.joint(table(spark, folder, "part"), "p_size", "p_retailprice", n=100_000, key=["p_partkey"])["points"]
+    return explore.joint(table(spark, folder, "part"), "p_size", "p_retailprice", n=SAMPLED, key=["p_partkey"])["points"]
 
 
 @query("density_2d", """

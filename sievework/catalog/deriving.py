@@ -14,6 +14,9 @@ KEYS = ("l_orderkey", "l_linenumber")
 def lines(spark, folder):
     return table(spark, folder, "lineitem")
 
+#: Rows that the sampling queries take: fewer than any of the tables has.
+SAMPLED = 150
+
 
 @query("feature_log", f"SELECT {LINE}, round(ln(1 + l_extendedprice), 6) AS log_l_extendedprice FROM lineitem")
 def _(spark, folder):
@@ -142,12 +145,12 @@ def _(spark, folder):
     return explore.sample(lines(spark, folder), 5000, KEYS).select(*KEYS, "l_quantity")
 
 
-@query("scatter", "SELECT p_size, p_retailprice, p_type FROM part")
+@query("scatter", f"SELECT p_size, p_retailprice, p_type FROM part ORDER BY md5('0:' || p_partkey) LIMIT {SAMPLED}")
 def _(spark, folder):
     p = table(spark, folder, "part")
-    return explore.scatter(p, "p_size", "p_retailprice", "p_type", n=100_000, key=["p_partkey"])
+    return explore.scatter(p, "p_size", "p_retailprice", "p_type", n=SAMPLED, key=["p_partkey"])
 
 
-@query("category_points", "SELECT p_retailprice, p_type FROM part")
+@query("category_points", f"SELECT p_retailprice, p_type FROM part ORDER BY md5('0:' || p_partkey) LIMIT {SAMPLED}")
 def _(spark, folder):
-    return explore.category_points(table(spark, folder, "part"), "p_retailprice", "p_type", n=100_000, key=["p_partkey"])
+    return explore.category_points(table(spark, folder, "part"), "p_retailprice", "p_type", n=SAMPLED, key=["p_partkey"])

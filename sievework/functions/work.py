@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only a session without that setting (a local one, as in tests) gets a
-    temporary folder.
+    Only a local session without that setting (as in tests) gets a temporary
+    folder; on a cluster the folder must be named, since a temporary one would
+    be another on each machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -45,9 +48,10 @@ def one_row(df: DataFrame) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores where the input has too few partitions to keep them busy.
+    """Deal rows out to all cores where the input has too few files to keep them busy.
 
-    A table read in at least as many pieces as there are cores stays as it is.
+    The files are known without a job; a table of at least as many as there are
+    cores stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

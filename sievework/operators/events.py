@@ -25,31 +25,32 @@ def _seconds(later: Column, earlier: Column) -> Column:
 
 
 def _slotted(df: DataFrame, user: str, ts: str, slot_seconds: int) -> DataFrame:
-    return df.select(F.col(user).alias("user"), _instant(ts).alias("ts"),
+    """Rows under private names, so that no column of the caller's is in the way."""
+    return df.select(F.col(user).alias("__user"), _instant(ts).alias("__ts"),
                      *[F.col(c) for c in df.columns if c not in (user, ts)]).withColumn(
-        "slot", F.floor(F.unix_seconds("ts") / slot_seconds))
+        "__slot", F.floor(F.unix_seconds("__ts") / slot_seconds))
 
 
 def _neighbour(df: DataFrame, user: str, ts: str, order: Sequence[str], forward: bool,
                slot_seconds: int) -> DataFrame:
-    """Events with ``near``: the time of the next (or previous) event of the same user."""
+    """Events with ``__near``: the time of the next (or previous) event of the same user."""
     rows = _slotted(df, user, ts, slot_seconds)
-    edge = F.min("ts") if forward else F.max("ts")
+    edge = F.min("__ts") if forward else F.max("__ts")
     shift = F.lead if forward else F.lag
-    slots = rows.groupBy("user", "slot").agg(edge.alias("edge"))
-    other = shift("edge").over(Window.partitionBy("user").orderBy("slot"))
-    across = slots.select(F.col("user").alias("u"), F.col("slot").alias("s"), other.alias("across"))
-    within = Window.partitionBy("user", "slot").orderBy("ts", *order)
-    joined = rows.join(across, F.col("user").eqNullSafe(F.col("u")) & F.col("slot").eqNullSafe(F.col("s")))
-    return joined.withColumn("near", F.coalesce(shift("ts").over(within), F.col("across"))).drop("u", "s", "across")
+    slots = rows.groupBy("__user", "__slot").agg(edge.alias("__edge"))
+    other = shift("__edge").over(Window.partitionBy("__user").orderBy("__slot"))
+    across = slots.select(F.col("__user").alias("__u"), F.col("__slot").alias("__s"), other.alias("__across"))
+    within = Window.partitionBy("__user", "__slot").orderBy("__ts", *order)
+    joined = rows.join(across, F.col("__user").eqNullSafe(F.col("__u")) & F.col("__slot").eqNullSafe(F.col("__s")))
+    return joined.withColumn("__near", F.coalesce(shift("__ts").over(within), F.col("__across"))).drop("__u", "__s", "__across")
 
 
 def dwell(events: DataFrame, user: str = "user_id", ts: str = "ts", order: Sequence[str] = ("event_id",),
           slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Events with ``dwell_seconds``: whole seconds until the user's next event, NULL for the last one."""
     out = _neighbour(events, user, ts, order, True, slot_seconds)
-    seconds = F.floor(_seconds(F.col("near"), F.col("ts")) + 0.5).cast("long")
-    return out.withColumn("dwell_seconds", seconds).drop("near", "slot").withColumnsRenamed({"user": user})
+    seconds = F.floor(_seconds(F.col("__near"), F.col("__ts")) + 0.5).cast("long")
+    return out.withColumn("dwell_seconds", seconds).drop("__near", "__slot").withColumnsRenamed({"__user": user, "__ts": ts})
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap_seconds: int = 1800,
@@ -59,18 +60,18 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap_secon
     A session ends when the user is quiet for longer than the gap.
     """
     rows = _neighbour(events, user, ts, order, False, slot_seconds)
-    opens = F.col("near").isNull() | (_seconds(F.col("ts"), F.col("near")) > gap_seconds)
-    rows = rows.withColumn("opened", F.when(opens, F.col("ts")))
+    opens = F.col("__near").isNull() | (_seconds(F.col("__ts"), F.col("__near")) > gap_seconds)
+    rows = rows.withColumn("__opened", F.when(opens, F.col("__ts")))
     # Last session opened before each slot.
-    slots = rows.groupBy("user", "slot").agg(F.max("opened").alias("last"))
-    upto = Window.partitionBy("user").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = slots.select(F.col("user").alias("u"), F.col("slot").alias("s"), F.max("last").over(upto).alias("carried"))
-    within = Window.partitionBy("user", "slot").orderBy("ts", *order).rowsBetween(Window.unboundedPreceding, 0)
-    start = F.coalesce(F.max("opened").over(within), F.col("carried"))
-    joined = rows.join(before, F.col("user").eqNullSafe(F.col("u")) & F.col("slot").eqNullSafe(F.col("s")))
-    found = joined.withColumn("session_start", start).groupBy("user", "session_start").agg(
-        F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("n_events"))
-    return found.select(F.col("user").alias(user), "session_start", "session_end", "n_events",
+    slots = rows.groupBy("__user", "__slot").agg(F.max("__opened").alias("__last"))
+    upto = Window.partitionBy("__user").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = slots.select(F.col("__user").alias("__u"), F.col("__slot").alias("__s"), F.max("__last").over(upto).alias("__carried"))
+    within = Window.partitionBy("__user", "__slot").orderBy("__ts", *order).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.max("__opened").over(within), F.col("__carried"))
+    joined = rows.join(before, F.col("__user").eqNullSafe(F.col("__u")) & F.col("__slot").eqNullSafe(F.col("__s")))
+    found = joined.withColumn("session_start", start).groupBy("__user", "session_start").agg(
+        F.max("__ts").alias("session_end"), F.count(F.lit(1)).alias("n_events"))
+    return found.select(F.col("__user").alias(user), "session_start", "session_end", "n_events",
                         F.round(_seconds(F.col("session_end"), F.col("session_start"))).cast("long").alias("duration_seconds"))
 
 

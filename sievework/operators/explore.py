@@ -20,7 +20,7 @@ from sievework.operators import profile
 
 MAX_POINTS = 5000
 # Leaves the upper 16 bits of a hash.
-HASH_SHIFT = 48
+HASH_SHIFT = 44
 # Up to this many labels a table with one row per label is broadcast.
 MAX_LABELS = 10_000
 
@@ -148,6 +148,12 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: int | tuple[int, int] = 40)
         F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _rank(seed: int, names: Sequence[str]) -> Column:
+    """A row's place in a sample: the first 60 bits of a digest of seed and key that any engine can work out."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(c).cast("string") for c in names])), 1, 15)
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def sample(df: DataFrame, n: int = MAX_POINTS, key: Sequence[str] | None = None, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows (or all) without replacement, the same ones on every run.
 
@@ -156,7 +162,7 @@ def sample(df: DataFrame, n: int = MAX_POINTS, key: Sequence[str] | None = None,
     can be among them, so only about ``n`` rows are ever sorted.
     """
     names = list(key) if key else df.columns
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[col(c) for c in names]))
+    hashed = df.withColumn("_h", _rank(seed, names))
     part = F.shiftright("_h", HASH_SHIFT)
     sizes = hashed.groupBy(part.alias("b")).agg(F.count(F.lit(1)).alias("held"))
     # At most 65,536 hash ranges.
@@ -220,7 +226,7 @@ def grouped_raw_line(df: DataFrame, x: str, y: str, group: str, n: int = MAX_POI
     require_numeric(df, [x, y])
     names = list(key) if key else df.columns
     rows = df.select(group_label(df, group).alias("label"), as_number(x).alias("x"), as_number(y).alias("y"),
-                     F.xxhash64(F.lit(seed), *[col(c) for c in names]).alias("_h"))
+                     _rank(seed, names).alias("_h"))
     rows = rows.where("x is not null and y is not null").withColumn("_b", F.shiftright("_h", HASH_SHIFT))
     # Rows per label and hash range tell from which range on no row can be among the first n.
     sizes = rows.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("held"))
@@ -324,15 +330,17 @@ def density2d(df: DataFrame, x: str, y: str, grid: int = 60) -> DataFrame:
 def contingency(df: DataFrame, x: str, y: str, wide: bool = False, max_columns: int = 5000) -> DataFrame:
     """Counts per pair of categories, zeros included: ``y, x, n``, or one column per x category."""
     require_categorical(df, [x, y])
-    rows = df.select(group_label(df, y).alias("y"), group_label(df, x).alias("x"))
+    rows = df.select(group_label(df, y).alias("__y"), group_label(df, x).alias("x"))
     names = [r["x"] for r in rows.select("x").distinct().orderBy("x").limit(max_columns + 1).collect()]
     if len(names) > max_columns:
         raise ValueError(f"Column '{x}' has more than {max_columns} categories; use the other column as x")
-    table = rows.groupBy("y").pivot("x", names).count().na.fill(0)
+    table = rows.groupBy("__y").pivot("x", names).count().na.fill(0)
     if wide:
-        return table
+        return table.withColumnRenamed("__y", "y")
     entries = [F.struct(F.lit(n).alias("x"), col(n).alias("n")) for n in names]
-    return table.select("y", F.inline(F.array(*entries))) if names else rows.select("y", "x", F.lit(0).alias("n"))
+    if not names:
+        return rows.select(F.col("__y").alias("y"), "x", F.lit(0).alias("n"))
+    return table.select(F.col("__y").alias("y"), F.inline(F.array(*entries)))
 
 
 def filter_groups(df: DataFrame, predicates: Mapping[str, str] | Sequence[str]) -> DataFrame:

@@ -252,4 +252,16 @@ def test_experiment_edges(spark):
     assert experiment.untagged_assignment(metrics).first()["untagged"]
     with pytest.raises(ValueError):
         experiment.check_users(spark.createDataFrame([(1,)], "user_id int"))
-    assert experiment.metric_dictionary(spark).count() == 10
+
+
+def test_names_of_the_caller_are_in_nobodys_way(spark):
+    from sievework.operators import events, explore, features
+    rows = spark.createDataFrame([(1, 7, "2024-01-01 00:00:00", "a", 5), (2, 7, "2024-01-01 00:00:09", "b", 6)],
+                                 "event_id int, user_id int, ts string, user string, slot int")
+    assert sorted((r.event_id, r.dwell_seconds, r.user, r.slot) for r in events.dwell(rows).collect()) == [(1, 9, "a", 5), (2, None, "b", 6)]
+    assert events.sessions(rows).first().n_events == 2
+    flags = spark.createDataFrame([("y", "n"), ("n", "y"), ("y", "y")], "a string, b string")
+    assert sorted((r.y, r.x, r.n) for r in explore.contingency(flags, "a", "b").collect()) == [
+        ("n", "n", 0), ("n", "y", 1), ("y", "n", 1), ("y", "y", 1)]
+    flat = spark.createDataFrame([(1e6,), (1e6,)], "v double")
+    assert features.binning(flat, "v", 2, "b", labels=True).first().b == "(998999.999, 1000000.0]"
