@@ -35,13 +35,13 @@ GRAM = 20
 CHUNK = 1 << 20
 BUCKET = 24 << 20
 #: Bytes of text for each group that anchors are compared in.
-GROUP = 16 << 20
+GROUP = 6 << 20
 #: Bytes to which suffixes are compared.
 REACH = 128
 #: Windows that one suffix array takes in, unless one anchor has more.
-SUFFIXES = 200_000
+SUFFIXES = 100_000
 #: An anchor in more chunks than this is compared window by window, in as many groups as it has windows.
-HOT_CHUNKS = 256
+HOT_CHUNKS = 4096
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM):
