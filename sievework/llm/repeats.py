@@ -38,8 +38,10 @@ BUCKET = 24 << 20
 GROUP = 6 << 20
 #: Bytes to which suffixes are compared.
 REACH = 128
-#: Windows that one suffix array takes in, unless one anchor has more.
+#: Windows that one suffix array takes in, unless more have the same bytes.
 SUFFIXES = 100_000
+#: The first k bytes of a word, for k from 0 to 8.
+_FIRST_BYTES = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
 #: An anchor in more chunks than this is compared window by window, in as many groups as it has windows.
 HOT_CHUNKS = 4096
 
@@ -99,7 +101,7 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, grou
     """(length, members) of every maximal repeat, members being rows of the sorted suffix list, and that list.
 
     Suffixes begin at ``starts`` and end at ``ends``; only those of one group
-    are compared.  ``owner`` is the stretch a suffix lies in: at its beginning
+    are compared.  ``owner`` changes where a suffix begins a stretch: there
     the byte before counts as different from all others.  Suffixes are compared
     to ``REACH`` bytes; a repeat that is longer is given at every place from
     which it still has that length.
@@ -108,13 +110,8 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, grou
     reach = int((ends - starts).max())
     words = -(-reach // 8)
     padded = np.concatenate((data, np.zeros(8 * words + 8, np.uint8)))
-    keys = []
-    for j in range(words):
-        at = starts + 8 * j
-        word = np.zeros(len(starts), np.uint64)
-        for b in range(8):
-            word = (word << np.uint64(8)) | np.where(at + b < ends, padded[np.minimum(at + b, len(padded) - 1)], 0)
-        keys.append(word)
+    word_at = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
+    keys = [word_at[starts + 8 * j].astype(np.uint64) & _FIRST_BYTES[np.clip(ends - starts - 8 * j, 0, 8)] for j in range(words)]
     order = np.lexsort((ends - starts, *keys[::-1], group))
     lcp = np.zeros(len(order), np.int64)
     equal = group[order[1:]] == group[order[:-1]]
@@ -317,26 +314,40 @@ def _compare(table: pa.Table) -> pa.Table:
     best = np.repeat(doc[lead], windows)
     _, of_key, n_key = np.unique(key[lead], return_inverse=True, return_counts=True)
     many = np.flatnonzero(n_key[of_key.reshape(-1)] > 1)
-    # Suffixes under one anchor are compared; anchors with one stretch need no comparison.
-    at, load = 0, np.cumsum(windows[many])
-    while at < len(many):
-        till = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + SUFFIXES)))
-        while till < len(many) and key[lead[many[till]]] == key[lead[many[till - 1]]]:
-            till += 1
-        own = many[at:till]
+    # Anchors with one stretch need no comparison, nor do windows whose bytes come once; hashes tell them, chunk by chunk.
+    many = many[np.argsort(lead[many])]
+    row_of = np.repeat(np.arange(len(columns["sizes"])), [len(x) // 4 for x in columns["sizes"]])
+    cuts = np.searchsorted(row_of, np.arange(len(columns["sizes"]) + 1))
+    shares = np.searchsorted(lead[many], cuts)
+    hashes = [np.zeros(0, np.uint64)]
+    for a, b, low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), shares[:-1].tolist(), shares[1:].tolist()):
+        if low < high:
+            prefix, down = texts.prefix_hash(data[start[a]:start[b - 1] + size[b - 1]])
+            at = places(start[lead[many[low:high]]] - start[a], windows[many[low:high]])
+            hashes.append(texts.span_hash(prefix, down, at, at + LENGTH))
+    window = np.concatenate(hashes)
+    order = np.argsort(window)
+    equal = window[order][1:] == window[order][:-1]
+    order = order[(np.r_[False, equal] | np.r_[equal, False])[:len(order)]]
+    window = window[order]
+    begins = places(start[lead[many]], windows[many])[order]
+    stretch = np.repeat(many, windows[many])[order]
+    # Repeats begin with equal windows, so suffix arrays are cut where the window changes.
+    turns, at = np.flatnonzero(np.r_[window[1:] != window[:-1], True][:len(window)]) + 1, 0
+    while at < len(window):
+        till = int(turns[min(np.searchsorted(turns, at + SUFFIXES), len(turns) - 1)])
+        own, opened = stretch[at:till], start[lead[stretch[at:till]]]
+        repeats, sorted_rows = maximal_repeats(data, begins[at:till], opened + size[lead[own]], window[at:till],
+                                               np.cumsum(begins[at:till] == opened))
+        slot = (base[own] + begins[at:till] - opened)[sorted_rows]
+        smallest = doc[lead[own]][sorted_rows]
         at = till
-        begins = places(start[lead[own]], windows[own])
-        stretch = np.repeat(own, windows[own])
-        repeats, sorted_rows = maximal_repeats(data, begins, (start + size)[lead[stretch]], key[lead[stretch]], stretch)
-        slot = (base[stretch] + begins - start[lead[stretch]])[sorted_rows]
-        smallest = doc[lead[stretch]][sorted_rows]
         for length, left, right in repeats:
-            low, at_all = smallest[left:right + 1].min(), slot[left:right + 1]
-            covered = at_all[:, None] + np.arange(length - LENGTH + 1)
-            best[covered] = np.minimum(best[covered], low)
+            low, inner = smallest[left:right + 1].min(), np.arange(length - LENGTH + 1)
+            for first in range(left, right + 1, SUFFIXES // 50):  # few enough for a small table of windows
+                covered = slot[first:min(first + SUFFIXES // 50, right + 1), None] + inner
+                best[covered] = np.minimum(best[covered], low)
     out = []
-    row_of = np.repeat(np.arange(len(columns["sizes"])), [len(x) // 4 for x in columns["sizes"]])
-    cuts = np.searchsorted(row_of, np.arange(len(columns["sizes"]) + 1))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         own = number[a:b]
         n = windows[own]
