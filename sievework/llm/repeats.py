@@ -40,6 +40,8 @@ GROUP = 6 << 20
 REACH = 128
 #: Windows that one suffix array takes in, unless more have the same bytes.
 SUFFIXES = 100_000
+#: Members of repeats that are marked in one step.
+MEMBERS = 10_000
 #: The first k bytes of a word, for k from 0 to 8.
 _FIRST_BYTES = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
 #: An anchor in more chunks than this is compared window by window, in as many groups as it has windows.
@@ -98,7 +100,7 @@ def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray, owner: np.ndarray,
                     least: int = LENGTH):
-    """(length, members) of every maximal repeat, members being rows of the sorted suffix list, and that list.
+    """Length, first and last row in the sorted suffix list of every maximal repeat, and that list.
 
     Suffixes begin at ``starts`` and end at ``ends``; only those of one group
     are compared.  ``owner`` changes where a suffix begins a stretch: there
@@ -134,13 +136,38 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, grou
     # Blocks of suffixes that share at least the wanted length; only within them does the stack move.
     opens = np.flatnonzero(long & ~np.r_[False, long[:-1]]) - 1
     closes = np.flatnonzero(long & ~np.r_[long[1:], False])
-    out = []
-    for a, z in zip(opens.tolist(), closes.tolist()):
-        found = [(int(lcp[z]), 0, 1)] if z - a == 1 else intervals(lcp[a:z + 1], least)
-        for length, left, right in found:
-            if length == REACH or (before[a + left:a + right + 1] != before[a + left]).any():
-                out.append((length, a + left, a + right))
-    return out, order
+    pair = closes - opens == 1
+    found = [(length, a + left, a + right) for a, z in zip(opens[~pair].tolist(), closes[~pair].tolist())
+             for length, left, right in intervals(lcp[a:z + 1], least)]
+    found = np.array(found, np.int64).reshape(-1, 3)
+    length = np.concatenate((lcp[closes[pair]], found[:, 0]))
+    left, right = np.concatenate((opens[pair], found[:, 1])), np.concatenate((closes[pair], found[:, 2]))
+    turns = np.r_[0, np.cumsum(before[1:] != before[:-1])]
+    diverse = (length == REACH) | (turns[right] != turns[left])
+    return length[diverse], left[diverse], right[diverse], order
+
+
+def lower_covered(best: np.ndarray, slot: np.ndarray, smallest: np.ndarray, length: np.ndarray, left: np.ndarray,
+                  right: np.ndarray) -> None:
+    """Lower ``best`` to the smallest document of each repeat at every window that one of its members covers.
+
+    ``slot`` has the first window of each sorted suffix.  Members are taken
+    ``MEMBERS`` at a time, however they are divided among repeats.
+    """
+    order = np.argsort(left, kind="stable")
+    length, left, right = length[order], left[order], right[order]
+    bounds = np.stack((left, right + 1), axis=1).reshape(-1)
+    low = np.minimum.reduceat(np.r_[smallest, smallest[:1]], bounds)[::2] if len(left) else left
+    # Where repeats overlap the last assignment holds, so the smallest document comes last.
+    order = np.argsort(-low, kind="stable")
+    length, left, right, low = length[order], left[order], right[order], low[order]
+    ends = np.cumsum(right - left + 1)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, MEMBERS):
+        member = np.arange(at, min(at + MEMBERS, int(ends[-1])))
+        repeat = np.searchsorted(ends, member, "right")
+        windows = length[repeat] - LENGTH + 1
+        covered = places(slot[right[repeat] + 1 + member - ends[repeat]], windows)
+        best[covered] = np.minimum(best[covered], np.repeat(low[repeat], windows))
 
 
 class _Chunk:
@@ -337,16 +364,11 @@ def _compare(table: pa.Table) -> pa.Table:
     while at < len(window):
         till = int(turns[min(np.searchsorted(turns, at + SUFFIXES), len(turns) - 1)])
         own, opened = stretch[at:till], start[lead[stretch[at:till]]]
-        repeats, sorted_rows = maximal_repeats(data, begins[at:till], opened + size[lead[own]], window[at:till],
-                                               np.cumsum(begins[at:till] == opened))
-        slot = (base[own] + begins[at:till] - opened)[sorted_rows]
-        smallest = doc[lead[own]][sorted_rows]
+        length, left, right, order = maximal_repeats(data, begins[at:till], opened + size[lead[own]], window[at:till],
+                                                     np.cumsum(begins[at:till] == opened))
+        slot = (base[own] + begins[at:till] - opened)[order]
+        lower_covered(best, slot, doc[lead[own]][order], length, left, right)
         at = till
-        for length, left, right in repeats:
-            low, inner = smallest[left:right + 1].min(), np.arange(length - LENGTH + 1)
-            for first in range(left, right + 1, SUFFIXES // 50):  # few enough for a small table of windows
-                covered = slot[first:min(first + SUFFIXES // 50, right + 1), None] + inner
-                best[covered] = np.minimum(best[covered], low)
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         own = number[a:b]

@@ -173,8 +173,8 @@ def test_maximal_repeats_have_all_occurrences():
     text = b"xabcdeyabcdezabcdqabc"
     data = np.frombuffer(text, np.uint8)
     n = len(text)
-    found, order = repeats.maximal_repeats(data, np.arange(n), np.full(n, n), np.zeros(n, np.int64), np.zeros(n, np.int64), least=3)
-    got = {text[order[a]:order[a] + k]: sorted(order[a:b + 1].tolist()) for k, a, b in found}
+    *found, order = repeats.maximal_repeats(data, np.arange(n), np.full(n, n), np.zeros(n, np.int64), np.zeros(n, np.int64), least=3)
+    got = {text[order[a]:order[a] + k]: sorted(order[a:b + 1].tolist()) for k, a, b in zip(*(x.tolist() for x in found))}
     assert got == {b"abc": [1, 7, 13, 18], b"abcd": [1, 7, 13], b"abcde": [1, 7]}
     assert repeats.intervals(np.array([0, 3, 5, 5, 0, 3]), 3) == [(5, 1, 3), (3, 0, 3), (3, 4, 5)]
 
