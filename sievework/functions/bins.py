@@ -24,6 +24,10 @@ class Bins:
     def edge(self, i: int) -> float:
         return self.hi if i == self.n else self.lo + i * self.width
 
+    @property
+    def _type(self) -> str:
+        return "int" if self.n < 1 << 31 else "long"
+
     @property
     def edges(self) -> list[float]:
         return [self.edge(i) for i in range(self.n + 1)]
@@ -33,7 +37,7 @@ class Bins:
 
     def _clamped(self, c: Column) -> Column:
         # greatest/least skip NULL, so a missing value has to be kept apart.
-        return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0)), F.lit(self.n - 1)).cast("int"))
+        return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0)), F.lit(self.n - 1)).cast(self._type))
 
     def _edge_of(self, i: Column) -> Column:
         return F.lit(self.lo) + i * F.lit(self.width)
@@ -56,10 +60,11 @@ class Bins:
         return self._clamped(moved)
 
     def table(self, spark) -> DataFrame:
-        """``bin, lo, hi, mid`` for every bin."""
-        return spark.createDataFrame(
-            [(i, self.edge(i), self.edge(i + 1), self.midpoint(i)) for i in range(self.n)],
-            "bin int, lo double, hi double, mid double")
+        """``bin, lo, hi, mid`` for every bin, made in the tasks: the data may ask for any number of bins."""
+        i = F.col("id")
+        hi = F.when(i == self.n - 1, F.lit(float(self.hi))).otherwise(self._edge_of(i + 1)).alias("hi")
+        edges = spark.range(self.n).select(i.cast(self._type).alias("bin"), self._edge_of(i).cast("double").alias("lo"), hi)
+        return edges.withColumn("mid", 0.5 * (F.col("lo") + F.col("hi")))
 
 
 def value_ranges(df: DataFrame, values: list[Column]) -> list[tuple[float, float] | None]:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.schema import col, require_columns
-from sievework.functions.work import one_row
 
 
 def remove(df: DataFrame) -> DataFrame:
@@ -16,34 +15,25 @@ def remove(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def _repeated(df: DataFrame) -> DataFrame:
-    """Distinct repeated rows with their copy count ``_n``.
-
-    Whole rows are shuffled only where their hash occurs twice: equal rows
-    have equal hashes, so every other row is known to be unique.
-    """
-    key = F.xxhash64(*[col(c) for c in df.columns])
-    suspects = df.select(key.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    rows = df.withColumn("_h", key).join(suspects, "_h", "left_semi").drop("_h")
-    return rows.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+def _counted(df: DataFrame) -> DataFrame:
+    """Distinct rows with their copy count ``_n``: each task collapses its copies before the one shuffle."""
+    return df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def copies(df: DataFrame) -> DataFrame:
     """Every copy of every repeated row."""
-    out = _repeated(df).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    out = _counted(df).where("_n > 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return out.select(*[col(c) for c in df.columns])
 
 
 def overview(df: DataFrame) -> DataFrame:
     """``n_rows, n_extra_copies, n_all_copies, pct`` in one row."""
-    repeated = _repeated(df).agg(
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_extra_copies"),
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_all_copies"),
-    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     share = F.round(100 * F.col("n_all_copies") / F.nullif(F.col("n_rows"), F.lit(0)), 2)
-    counts = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("r", one_row(repeated))
-    return counts.select("n_rows", "r.n_extra_copies", "r.n_all_copies").withColumn(
-        "pct", F.coalesce(share, F.lit(0.0)))
+    counts = _counted(df).agg(
+        total("_n").alias("n_rows"), total(F.col("_n") - 1).alias("n_extra_copies"),
+        total(F.when(F.col("_n") > 1, F.col("_n"))).alias("n_all_copies"))
+    return counts.withColumn("pct", F.coalesce(share, F.lit(0.0)))
 
 
 def examples(df: DataFrame, n: int = 3) -> DataFrame:

@@ -72,18 +72,22 @@ def label(df: DataFrame, cols: Sequence[str], missing_text: str = "nan") -> Data
     return out
 
 
-def categories(df: DataFrame, column: str, max_values: int) -> list:
-    """Sorted distinct values; raises when there are more than ``max_values``."""
-    rows = df.where(~is_missing(df, column)).select(col(column).alias("v")).distinct().limit(max_values + 1).collect()
-    if len(rows) > max_values:
+def categories(df: DataFrame, column: str, max_values: int | None = None) -> list:
+    """Sorted distinct values; raises when there are more than ``max_values`` (None: any number)."""
+    values = df.where(~is_missing(df, column)).select(col(column).alias("v")).distinct()
+    rows = (values if max_values is None else values.limit(max_values + 1)).collect()
+    if max_values is not None and len(rows) > max_values:
         raise ValueError(
             f"Column '{column}' has more than {max_values} distinct values; one-hot encoding would add as "
             "many columns. Use label encoding or binning, or raise max_values.")
     return sorted(r["v"] for r in rows)
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], max_values: int = 5000) -> DataFrame:
-    """Replace each column by 0/1 columns ``{column}_{value}``; a missing value sets none of them."""
+def one_hot(df: DataFrame, cols: Sequence[str], max_values: int | None = None) -> DataFrame:
+    """Replace each column by 0/1 columns ``{column}_{value}``; a missing value sets none of them.
+
+    The result has a column for every value, all of which the plan names.
+    """
     require_columns(df, cols)
     added = {}
     for c in cols:

@@ -15,7 +15,7 @@ from sievework.functions.schema import (
     MISSING_LABEL, as_number, col, is_categorical, is_missing, is_numeric, require_categorical,
     require_columns, require_numeric, type_of,
 )
-from sievework.functions.work import spread
+from sievework.functions.work import one_row, spread
 from sievework.operators import profile
 
 MAX_POINTS = 5000
@@ -95,11 +95,10 @@ def _bins_for(df: DataFrame, column: str, bins: int | str) -> Bins:
 
 def _filled(bins: Bins, counts: DataFrame, df: DataFrame, normalize: bool) -> DataFrame:
     """Counts per bin with the empty bins added."""
-    table = bins.table(df.sparkSession).join(F.broadcast(counts), "bin", "left")
-    value = F.coalesce(F.col("value"), F.lit(0))
-    out = table.select("bin", "lo", "hi", value.alias("value"))
+    table = bins.table(df.sparkSession).join(counts, "bin", "left")
+    out = table.select("bin", "lo", "hi", F.coalesce(F.col("value"), F.lit(0)).alias("value"))
     if normalize:
-        out = out.withColumn("value", _share(F.col("value"), F.sum("value").over(Window.partitionBy(F.lit(1)))))
+        out = out.withColumn("value", _share(F.col("value"), counts.agg(F.sum("value")).scalar()))
     return out
 
 
@@ -327,20 +326,18 @@ def density2d(df: DataFrame, x: str, y: str, grid: int = 60) -> DataFrame:
 # --- categories -----------------------------------------------------------
 
 
-def contingency(df: DataFrame, x: str, y: str, wide: bool = False, max_columns: int = 5000) -> DataFrame:
+def contingency(df: DataFrame, x: str, y: str, wide: bool = False) -> DataFrame:
     """Counts per pair of categories, zeros included: ``y, x, n``, or one column per x category."""
     require_categorical(df, [x, y])
     rows = df.select(group_label(df, y).alias("__y"), group_label(df, x).alias("x"))
-    names = [r["x"] for r in rows.select("x").distinct().orderBy("x").limit(max_columns + 1).collect()]
-    if len(names) > max_columns:
-        raise ValueError(f"Column '{x}' has more than {max_columns} categories; use the other column as x")
-    table = rows.groupBy("__y").pivot("x", names).count().na.fill(0)
     if wide:
-        return table.withColumnRenamed("__y", "y")
-    entries = [F.struct(F.lit(n).alias("x"), col(n).alias("n")) for n in names]
-    if not names:
-        return rows.select(F.col("__y").alias("y"), "x", F.lit(0).alias("n"))
-    return table.select(F.col("__y").alias("y"), F.inline(F.array(*entries)))
+        names = [r["x"] for r in rows.select("x").distinct().orderBy("x").collect()]
+        return rows.groupBy("__y").pivot("x", names).count().na.fill(0).withColumnRenamed("__y", "y")
+    counts = rows.groupBy("__y", "x").agg(F.count(F.lit(1)).alias("n"))
+    names = one_row(counts.agg(F.collect_set("x").alias("names"))).getField("names")
+    cells = counts.select("__y").distinct().select("__y", F.explode(names).alias("x"))
+    return cells.join(counts, ["__y", "x"], "left").select(
+        F.col("__y").alias("y"), "x", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def filter_groups(df: DataFrame, predicates: Mapping[str, str] | Sequence[str]) -> DataFrame:

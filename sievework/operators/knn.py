@@ -137,7 +137,7 @@ def _gap_to_boxes(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
 
 def _nearest(queries: pd.DataFrame, refs: pd.DataFrame, z: list[str], targets: list[str], k: int) -> pd.DataFrame:
     """The k nearest reference rows of every query row (ties by reference id), within its radius."""
-    refs = refs.sort_values("rid", kind="stable")
+    refs = refs.sort_values("rid", kind="stable", na_position="first")
     r = refs[z].to_numpy(dtype=float)
     keep = min(k, len(r))
     parts = []
@@ -245,8 +245,9 @@ def _neighbours(imp: DataFrame, ref: DataFrame, z: list[str], targets: list[str]
     homes = imp.withColumn("radius", F.lit(math.inf)).withColumn("box", home_of(F.struct(*z)))
     homes = settle(homes)
     near = settle(_search(homes, ref, sizes, z, targets, k, out))
-    reach = near.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list("dist")), 1, k).alias("ds")).select(
-        "qid", F.when(F.size("ds") >= k, F.element_at("ds", k)).otherwise(F.lit(math.inf)).alias("reach"))
+    closest = near.select("qid", "dist", F.row_number().over(Window.partitionBy("qid").orderBy("dist")).alias("_n"))
+    reach = closest.where(F.col("_n") <= k).groupBy("qid").agg(
+        F.when(F.count("dist") >= k, F.max("dist")).otherwise(F.lit(math.inf)).alias("reach"))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -272,7 +273,7 @@ def knn_impute(df: DataFrame, cols: Sequence[str], k: int = 5, *, id_col: str,
     Features (None: all other numeric columns) are used if valid in at least
     80 % of the rows to impute, and scaled by mean and population std of the
     complete rows.  Rows to impute that lack a feature are dropped.
-    ``id_col`` identifies rows and breaks ties between equal distances.
+    ``id_col`` breaks ties between equal distances; it may be missing or repeat.
     """
     cols = list(cols)
     require_columns(df, [id_col])
@@ -290,14 +291,16 @@ def knn_impute(df: DataFrame, cols: Sequence[str], k: int = 5, *, id_col: str,
     scaled = [((as_number(c) - F.lit(m)) / F.lit(w)).alias(name)
               for name, c, m, w in zip(z, plan.features, plan.centre, plan.width)]
     targets = [f"t{i}" for i in range(len(cols))]
-    imp = df.where(gap & complete).select(col(id_col).alias("qid"), *scaled)
+    # Rows to impute are numbered once; the written copy keeps the numbers.
+    numbered = settle(df.where(gap & complete).withColumn("__row", F.monotonically_increasing_id()))
+    imp = numbered.select(F.col("__row").alias("qid"), *scaled)
     ref = df.where(~gap & complete).select(
         col(id_col).alias("rid"), *scaled, *[as_number(c).alias(t) for c, t in zip(cols, targets)])
     k = min(k, plan.n_reference)
     found = _neighbours(imp, ref, z, targets, k, plan.n_can_impute, plan.n_reference)
     best = Window.partitionBy("qid").orderBy("dist", "rid")
     means = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("qid").agg(
-        *[F.avg(t).alias(t) for t in targets])
-    filled = df.where(gap & complete).join(means, col(id_col) == F.col("qid")).withColumns(
-        {c: F.coalesce(as_number(c), F.col(t)) for c, t in zip(cols, targets)}).select(*[col(c) for c in df.columns])
+        *[F.avg(t).alias(f"__{t}") for t in targets]).withColumnRenamed("qid", "__row")
+    filled = numbered.join(means, "__row").withColumns(
+        {c: F.coalesce(as_number(c), F.col(f"__{t}")) for c, t in zip(cols, targets)}).select(*[col(c) for c in df.columns])
     return whole.withColumns(doubles).unionByName(filled)

@@ -50,7 +50,6 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
 # The header marker of an exported event sheet and its columns.
 HEADER_MARK = "ab_version"
 SHEET_COLUMNS = ("event", "not_set", "A", "B", "total")
-SHEET_WIDTH = 16
 
 
 def read_event_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +59,9 @@ def read_event_sheet(spark: SparkSession, path: str) -> DataFrame:
     is skipped too.  Rows are ordered by the position of their file block and
     then within it, so it does not matter how the file is split.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(SHEET_WIDTH)])
+    # Separators within quotes only make for empty columns at the end.
+    widest = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 0
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(widest, len(SHEET_COLUMNS)))])
     raw = spark.read.schema(schema).csv(path, header=False)
     rows = raw.select("*", F.struct(
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("_at"))

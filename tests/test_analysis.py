@@ -265,3 +265,13 @@ def test_names_of_the_caller_are_in_nobodys_way(spark):
         ("n", "n", 0), ("n", "y", 1), ("y", "n", 1), ("y", "y", 1)]
     flat = spark.createDataFrame([(1e6,), (1e6,)], "v double")
     assert features.binning(flat, "v", 2, "b", labels=True).first().b == "(998999.999, 1000000.0]"
+
+
+def test_bins_are_made_in_tasks(spark):
+    from sievework.functions.bins import Bins
+    table = Bins(0.0, 1.0, 46_000_000_000).table(spark)
+    row = table.where("bin = 45999999999").first()
+    assert row.hi == 1.0 and row.lo < 1.0
+    rows = spark.createDataFrame([(v,) for v in np.linspace(0, 1, 500).tolist() + [1000.0]], "v double")
+    hist = explore.histogram(rows, "v", "auto")
+    assert hist.agg(F.sum("value")).first()[0] == 501 and hist.count() > 1000

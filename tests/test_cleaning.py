@@ -217,3 +217,19 @@ def test_stored_fit(spark):
     df = spark.createDataFrame([(float(i),) for i in range(10)], "x double")
     fences = scaling.fit_fences(df, "x")
     assert fits.read_fit(fits.fit_table(spark, {"x": fences})) == {"x": fences}
+
+
+@pytest.mark.parametrize("rows_per_box", [4, 4096])
+def test_knn_needs_no_whole_or_distinct_ids(spark, monkeypatch, rows_per_box):
+    monkeypatch.setattr(knn, "ROWS_PER_BOX", rows_per_box)
+    made = [(i, float(i), float(i)) for i in range(1, 21)] + [(None, 3.0, None), (30, 3.0, None), (30, 17.0, None), (None, 12.0, 12.0)]
+    rows = spark.createDataFrame(made, "id long, f double, v double")
+    got = sorted((r.f, r.v) for r in knn.knn_impute(rows, ["v"], 1, id_col="id").collect())
+    assert got == sorted((f, v if v is not None else f) for _, f, v in made)
+
+
+def test_one_hot_of_many_values(spark):
+    rows = spark.range(60).selectExpr("CAST(id AS STRING) AS c")
+    assert len(encode.one_hot(rows, ["c"]).columns) == 60
+    with pytest.raises(ValueError):
+        encode.one_hot_append(rows, "c")

@@ -74,3 +74,9 @@ def test_column_types(spark):
     got = [(r["column"], r["is_numeric"], r["is_categorical"]) for r in schema.column_types(df).collect()]
     assert got == [("n", True, False), ("s", False, True), ("b", False, True)]
     assert schema.standardize_names(df.toDF(" N ", "S", "b")).columns == ["n", "s", "b"]
+
+
+def test_event_sheet_wider_than_its_first_row(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("note\n" + "," * 25 + "ab_version\nskipped\nclick,1,2,3,6\n")
+    assert [tuple(r) for r in files.read_event_sheet(spark, str(path)).collect()] == [("click", "1", "2", "3", "6")]
