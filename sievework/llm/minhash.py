@@ -7,7 +7,8 @@ every coordinate is filled after 2t rounds at most, usually after about
 t log t / n, and the share of equal coordinates concentrates around the
 similarity.  Rows whose bands collide are compared on their full sets.
 
-Documents with equal sets are one node.  In each bucket of a band all nodes are
+Documents with equal sets are one node; a node that is named by a document with
+several sets has each of them, told apart by a hash of their digests.  In each bucket of a band all nodes are
 first linked to one leader.  What is still apart then is compared with further
 leaders, chosen among the parts; the links between all members of a bucket are
 never written.
@@ -78,6 +79,10 @@ GROUP_SHINGLES = 250_000
 FILTER_BITS = 1 << 27
 
 
+def _digest(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def _sketch_table(docs: DataFrame, width: int, t: int) -> DataFrame:
     """doc, n (size of the set), digest of the set, and its bands (none for an empty set), for each (doc, text)."""
 
@@ -90,7 +95,7 @@ def _sketch_table(docs: DataFrame, width: int, t: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, keys.shape[1], 0)))).astype(np.int32)
                 yield pa.record_batch([
                     batch.column(0)[a:b], pa.array(sizes),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].reshape(-1)))],
                     names=["doc", "n", "digest", "bands"])
 
@@ -112,7 +117,7 @@ def _filter(wanted: DataFrame):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, n, items) with the packed sorted set of every wanted node."""
+    """(node, set, items) with the packed sorted sets of every wanted node; ``set`` is the hash of the set's digest."""
     table, place = _filter(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +126,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             own = batch.filter(pa.array((table.value[at >> 5] >> (at & 31).astype(np.uint32) & 1) > 0))
             for a, b, data, offs in texts.pieces(own.column(1)):
                 sets = texts.shingle_sets(texts.LOWER[data], offs, width)
-                yield pa.record_batch([own.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()),
-                                       pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "items"])
+                yield pa.record_batch([own.column(0)[a:b], pa.array([_digest(s) for s in sets], pa.binary()),
+                                       pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "digest", "items"])
 
-    found = docs.withColumn("place", place).mapInArrow(run, "node long, n long, items binary").where("n > 0")
+    found = (docs.withColumn("place", place).mapInArrow(run, "node long, digest binary, items binary")
+             .where(F.octet_length("items") > 0).select("node", F.xxhash64("digest").alias("set"), "items"))
     return found.join(wanted.select("node").distinct(), "node", "left_semi")
 
 
@@ -196,7 +202,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 def _between_parts(members: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
     """Links (a, b) between different components within a bucket, one for each two components of a group.
 
-    ``members`` has key, node, component, n, able (shingles that another member
+    ``members`` has key, node, set, component, n, able (shingles that another member
     has too) and bands.  Buckets are compared in pairs of blocks.  A first pass
     finds who has anyone to be compared with, so that only their sets travel;
     the pairs themselves are never written.
@@ -205,7 +211,7 @@ def _between_parts(members: DataFrame, sets: DataFrame, per_mille: int) -> DataF
     own = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # A member meets every block of its bucket once: as the smaller or the larger of two block numbers.
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ("key", "i", "j", "mine", "node", "component", "n", "able", "bands")
+    columns = ("key", "i", "j", "mine", "node", "set", "component", "n", "able", "bands")
     spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select(*columns)
 
     def involved(table: pa.Table) -> pa.Table:
@@ -230,9 +236,9 @@ def _between_parts(members: DataFrame, sets: DataFrame, per_mille: int) -> DataF
         return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()),
                          "b": pa.array([b for _, b in found.values()], pa.int64())})
 
-    schema = "key long, i long, j long, mine long, node long, component long, n long, able long, bands array<long>"
+    schema = "key long, i long, j long, mine long, node long, set long, component long, n long, able long, bands array<long>"
     light = spread.groupBy("key", "i", "j").applyInArrow(involved, schema)
-    return light.join(sets.select("node", "n", "items"), ["node", "n"]).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return light.join(sets, ["node", "set"]).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -255,9 +261,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = settle(_sketch_table(own, width, n_bands(threshold) * BAND_ROWS))
     known = table.where("doc IS NOT NULL AND n > 0")
     same = known.groupBy("digest").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = settle(same.select("node", "n", "bands", "digest"))
+    nodes = settle(same.select("node", F.xxhash64("digest").alias("set"), "n", "bands", "digest"))
 
-    slots = nodes.select("node", "n", F.explode("bands").alias("key"))
+    slots = nodes.select("node", "set", "n", F.explode("bands").alias("key"))
     crowded = slots.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
     slots = settle(slots.join(crowded.select("key", "lead"), "key"))
     sets = settle(_sets_of(own, slots.select("node").distinct(), width))
@@ -267,30 +273,38 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = (slots.where((F.col("node") != F.col("lead.node")) & (1000 * small >= per_mille * big))
              .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), big.alias("size"))
              .groupBy("a", "b").agg(F.max("size").alias("size")))
-    links = settle(_verify(pairs, sets, per_mille))
+    links = settle(_verify(pairs, sets, per_mille).unionByName(_own_links(table, nodes)))
     parts = settle(components(links))
 
     # Then what lies in one bucket but in different components.
     placed = slots.join(parts, "node", "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component"))
+        "key", "node", "set", "n", F.coalesce("component", "node").alias("component"))
     mixed = settle(_still_mixed(placed))
-    seen = mixed.select("node").distinct().join(sets, "node").select("node", "items")
-    alone = (_items(seen).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-             .groupBy("node").agg(F.count("*").alias("alone")))
-    able = (mixed.join(alone, "node", "left").withColumn("able", F.col("n") - F.coalesce("alone", F.lit(0)))
+    seen = mixed.select("node", "set").distinct().join(sets, ["node", "set"]).select("set", "items")
+    alone = (_items(seen).groupBy("item").agg(F.min("set").alias("set"), F.max("set").alias("last")).where("set = last")
+             .groupBy("set").agg(F.count("*").alias("alone")))
+    able = (mixed.join(alone, "set", "left").withColumn("able", F.col("n") - F.coalesce("alone", F.lit(0)))
             .where(1000 * F.col("able") >= per_mille * F.col("n")))
-    able = _still_mixed(able).join(nodes.select("node", "n", "bands"), ["node", "n"])
+    able = _still_mixed(able).join(nodes.select("node", "set", "bands"), ["node", "set"])
     more = _between_parts(able, sets, per_mille)
     parts = components(links.unionByName(more))
 
-    named = table.join(nodes.select("digest", "node"), "digest", "left").join(parts, "node", "left")
-    named = named.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc")))
+    named = table.join(nodes.select("digest", "node"), "digest", "left").withColumn("node", F.coalesce("node", "doc"))
+    named = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return named.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("doc").isNotNull(), F.col("component")).alias("component_id"),
         (F.col("doc").isNull() | (F.col("doc") == F.col("component"))).alias("kept"))
 
 
+def _own_links(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of every document that has several sets, an empty one included, with the nodes of its sets."""
+    several = (table.where("doc IS NOT NULL").groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+               .where("low < high").select("doc"))
+    return (table.select("doc", "digest").join(several, "doc", "left_semi").join(nodes.select("digest", "node"), "digest")
+            .where("node <> doc").select(F.col("node").alias("a"), F.col("doc").alias("b")).distinct())
+
+
 def _still_mixed(members: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component."""
     mixed = (members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -299,15 +313,15 @@ def _still_mixed(members: DataFrame) -> DataFrame:
 
 
 def _items(sets: DataFrame) -> DataFrame:
-    """(node, item) for every member of the packed sets."""
+    """(set, item) for every member of the packed sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 items = np.frombuffer(raw, np.int64)
-                yield pa.record_batch([pa.array(np.full(len(items), node)), pa.array(items)], names=["node", "item"])
+                yield pa.record_batch([pa.array(np.full(len(items), own)), pa.array(items)], names=["set", "item"])
 
-    return sets.mapInArrow(run, "node long, item long")
+    return sets.mapInArrow(run, "set long, item long")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,

@@ -73,6 +73,25 @@ def test_near_groups_of_a_family(spark, monkeypatch):
     assert got == near_brute(rows, 3, 850)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_groups_of_identifiers_with_several_texts(spark, monkeypatch, seed):
+    """Each set is ruled out by its own private shingles only, and all texts of an identifier are in one component."""
+    rng = random.Random(seed)
+    rows = []
+    for d in range(120):
+        words = [f"w{i}" for i in range(200)]
+        for _ in range(rng.choice([2, 3, 5, 6])):
+            words[rng.randrange(200)] = f"x{rng.randrange(10 ** 6)}"
+        rows += [(1000 - d, " ".join(words)), (1000 - d, " ".join(f"own{d}x{i}" for i in range(200)))]
+    # Same number of shingles in one bucket, texts shared with two other identifiers, and an empty one beside them.
+    rows += [(50, "a b c d e f"), (60, "g h i j k l"), (70, "a b c d e f"), (70, "g h i j k l"), (70, ""), (40, "m n o p"), (80, "m n o p"), (80, None)]
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    label = near_brute([(d, t or "") for d, t in rows], 3, 850)
+    got = minhash.near_groups(df, width=3, threshold=0.85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted((d, label[d], label[d] == d) for d, _ in rows)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
