@@ -145,6 +145,27 @@ def test_lowess(df, cloud, monkeypatch):
     assert np.abs(np.interp(at, rough["x"], rough["y_fit"]) - fit).max() < 0.01
 
 
+@pytest.mark.parametrize("shape", ["even", "gap", "heavy"])
+def test_lowess_at_every_x_of_many(spark, monkeypatch, shape):
+    rng = np.random.default_rng(3)
+    x = {"even": rng.uniform(-5, 5, 1300), "gap": np.r_[rng.normal(0, 1, 700), rng.normal(1e4, 1, 600), rng.uniform(5, 9990, 15)],
+         "heavy": np.r_[np.exp(3 * rng.normal(size=1150)), np.full(150, 2.0)]}[shape]
+    y = np.sin(x) + rng.normal(0, 0.3, len(x))
+    y[::50] += 20
+    at, fit = naive_lowess(x, y)
+    assert len(at) > models.MAX_ANCHORS
+    monkeypatch.setattr(models, "BLOCK_CELLS", 40)
+    frame = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(3)
+    got = models.lowess(frame, "x", "y").toPandas()
+    assert len(got) == len(at) and np.allclose(got["x"], at) and np.allclose(got["y_fit"], fit, atol=1e-6)
+    if shape == "even":
+        more = frame.unionByName(spark.createDataFrame([(0.123, None), (None, 1.0), (77.0, None)], "x double, y double"))
+        rows = models.with_lowess(more, "x", "y").toPandas()
+        known = rows["x"].notna()
+        assert len(rows) == 1303 and rows["y_fit"][~known].isna().all()
+        assert np.allclose(rows["y_fit"][known], np.interp(rows["x"][known], at, fit), atol=1e-6)
+
+
 def test_density(df, cloud):
     pairs = cloud[["b", "c"]].dropna().to_numpy()
     inv = np.linalg.inv(np.cov(pairs.T) * len(pairs) ** (-1 / 3))
