@@ -8,8 +8,12 @@ corpus takes no further part.  Consecutive windows with one anchor form a
 *stretch* of text; for each anchor that occurs more than once its distinct
 stretches are sorted by suffix, and a stack scan of the common-prefix lengths
 gives the tree of intervals.  Those of at least ``LENGTH`` bytes whose
-occurrences differ in the byte before are the maximal repeats; each is handed
-back with all its occurrences.
+occurrences differ in the byte before are the maximal repeats among the distinct
+stretches of an anchor.  They only serve to mark what an earlier document has:
+stretches that are the same stand for each other and end with their anchor, so
+a longer repeat comes in fragments.  No operator gives the maximal repeats of
+the corpus with all their occurrences; ``clean_repeats`` gives the removed
+spans and the remaining text, ``remove_repeats`` digests of them.
 
 Texts are packed into chunks that are written once, in buckets, so that the
 answers for a chunk meet it without moving a text again.
@@ -385,7 +389,42 @@ def _compare(table: pa.Table) -> pa.Table:
                      **{n: pa.array([o[i] for o in out], pa.binary()) for i, n in enumerate(("stretch", "first", "last", "doc"))}})
 
 
-def _remove(groups: int):
+def _spans(chunk: _Chunk, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of removed bytes begin, and where they end; a run ends with its text."""
+    begins, ends = removed.copy(), removed.copy()
+    begins[1:] &= ~removed[:-1]
+    ends[:-1] &= ~removed[1:]
+    inner = chunk.offs[:-1][chunk.offs[:-1] < len(removed)]
+    begins[inner] = removed[inner]
+    ends[inner[inner > 0] - 1] = removed[inner[inner > 0] - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def _kept(chunk: _Chunk, removed: np.ndarray) -> Iterator[bytes]:
+    for a, b in zip(chunk.offs[:-1].tolist(), chunk.offs[1:].tolist()):
+        yield chunk.data[a:b][~removed[a:b]].tobytes()
+
+
+def _digested(docs: list, chunk: _Chunk, removed: np.ndarray) -> pa.RecordBatch:
+    count = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[chunk.offs])
+    spans = np.diff(np.searchsorted(_spans(chunk, removed)[0], chunk.offs))
+    return pa.record_batch([
+        pa.array(docs, pa.int64()), pa.array(np.diff(chunk.offs)), pa.array(count(removed)), pa.array(spans),
+        pa.array([hashlib.sha256(x).hexdigest() for x in _kept(chunk, removed)], pa.string())],
+        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _cleaned(docs: list, chunk: _Chunk, removed: np.ndarray) -> pa.RecordBatch:
+    starts, ends = _spans(chunk, removed)
+    cuts = np.searchsorted(starts, chunk.offs)
+    own = np.repeat(chunk.offs[:-1], np.diff(cuts))
+    spans = pa.StructArray.from_arrays([pa.array(starts - own), pa.array(ends - starts)], ["start", "length"])
+    return pa.record_batch([
+        pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans),
+        pa.array(list(_kept(chunk, removed)), pa.binary())], names=["doc_id", "spans", "kept"])
+
+
+def _remove(groups: int, cleaned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
@@ -412,17 +451,7 @@ def _remove(groups: int):
                 for i in np.flatnonzero(chunk.copies).tolist():
                     if chunk.offs[i + 1] - chunk.offs[i] >= LENGTH:
                         removed[chunk.offs[i]:chunk.offs[i + 1]] = True
-                begins = removed.copy()
-                begins[1:] &= ~removed[:-1]
-                inner = chunk.offs[:-1][chunk.offs[:-1] < len(removed)]
-                begins[inner] = removed[inner]
-                count = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[chunk.offs])
-                kept = [hashlib.sha256(chunk.data[a:b][~removed[a:b]].tobytes()).hexdigest()
-                        for a, b in zip(chunk.offs[:-1].tolist(), chunk.offs[1:].tolist())]
-                yield pa.record_batch([
-                    pa.array(row["docs"], pa.int64()), pa.array(np.diff(chunk.offs)), pa.array(count(removed)),
-                    pa.array(count(begins)), pa.array(kept, pa.string())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield (_cleaned if cleaned else _digested)(row["docs"], chunk, removed)
     return run
 
 
@@ -434,6 +463,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing.  Rows that repeat an identifier are the same document, so they take
     nothing from each other; a row without identifier is compared as the largest.
     """
+    return _without_repeats(docs, id_col, text_col, False)
+
+
+def clean_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, spans (start and length of each run of removed bytes), kept (the bytes that remain).
+
+    What goes is what ``remove_repeats`` counts.  Spans begin and end at any
+    byte, also within a character, so ``kept`` is binary.
+    """
+    return _without_repeats(docs, id_col, text_col, True)
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, cleaned: bool) -> DataFrame:
     spark = docs.sparkSession
     none = np.iinfo(np.int64).max
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.col(text_col).alias("text"))
@@ -456,7 +498,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        .groupBy("group").applyInArrow(_compare, "chunk long, group long, stretch binary, first binary, last binary, doc binary")
                        .groupBy("chunk").agg(F.collect_list(F.struct("group", "stretch", "first", "last", "doc")).alias("found")))
         result = settle(_with(flagged, found).mapInArrow(
-            _remove(groups), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            _remove(groups, cleaned), "doc_id long, spans array<struct<start: long, length: long>>, kept binary" if cleaned
+            else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     finally:
         spark.sql(f"DROP TABLE {name}")
     return result.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))

@@ -188,6 +188,22 @@ def test_remove_repeats(spark, odd, documents, texts_of, monkeypatch, chunk, hot
         assert got == repeats_brute(texts_of(df))
 
 
+def test_clean_repeats_gives_spans_and_text(odd, texts_of, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 3000)
+    rows = repeats.clean_repeats(odd).collect()
+    got = sorted(((r.doc_id, len(r.kept) + sum(s.length for s in r.spans), sum(s.length for s in r.spans), len(r.spans),
+                   hashlib.sha256(r.kept).hexdigest()) for r in rows), key=repr)
+    assert got == repeats_brute(texts_of(odd)) and any(r.spans for r in rows)
+    whole = {}
+    for d, t in texts_of(odd):
+        whole.setdefault(d, t.encode())
+    for r in rows:
+        text = bytearray(whole[r.doc_id])
+        for s in reversed(r.spans):
+            del text[s.start:s.start + s.length]
+        assert bytes(text) == r.kept
+
+
 def test_maximal_repeats_have_all_occurrences():
     text = b"xabcdeyabcdezabcdqabc"
     data = np.frombuffer(text, np.uint8)
