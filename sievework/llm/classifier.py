@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     found = np.concatenate([f[rows[i]:rows[i + 1]] for f, rows in parts] + [[np.uint64(buckets)]])
                     ids, n = np.unique(found, return_counts=True)
                     own.append(ids.astype("<u4").tobytes())
-                    often.append(np.minimum(n, 65535).astype("<u2").tobytes())
+                    often.append(n.astype("<u4").tobytes())
                 yield pa.record_batch([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(own, pa.binary()),
                                        pa.array(often, pa.binary())], names=["doc", "label", "ids", "often"])
 
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         count, "doc string, label int, ids binary, often binary").collect()
     found.sort(key=lambda r: (r.doc, bytes(r.ids)))  # the order of arrival must not matter
     return train([r.label for r in found],
-                 [(np.frombuffer(r.ids, "<u4"), np.frombuffer(r.often, "<u2")) for r in found], buckets)
+                 [(np.frombuffer(r.ids, "<u4"), np.frombuffer(r.often, "<u4")) for r in found], buckets)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

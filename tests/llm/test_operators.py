@@ -311,6 +311,14 @@ def test_automaton_is_minimal_and_rejects_unknown_parts():
         secrets.compile_rules([r"(a)\1"], False, False)
 
 
+def test_training_counts_are_exact(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda labels, counts, buckets: seen.extend(counts))
+    docs = spark.createDataFrame([(1, "word " * 70_000)], "doc_id long, text string")
+    classifier.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert len(seen) == 1 and seen[0][1].max() >= 70_000
+
+
 def test_classifier(spark, odd, clashing, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
