@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, classifier, digests, minhash, mixing, repeats, rules, secrets, tokencounts, urls
+from sievework.llm import bpe, classifier, digests, hardneg, lexical, minhash, mixing, repeats, rules, secrets, tokencounts, urls
 
 #: Name of the rank file in the package of public tokenizers.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -85,6 +85,19 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("__mix_target").alias("target"), (F.col("__mix_copies") * F.col("__mix_size")).alias("taken"))
 
 
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with every seventh label moved on by one."""
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item, over an index of all documents."""
+    shards = lexical.store(lexical.index(table(spark, folder, "documents", "doc_id", "text")))
+    return lexical.search(shards, table(spark, folder, "benchmark", "item_id", "text"), 20)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup,
     "op2_token_counts": token_counts,
@@ -96,9 +109,12 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup,
     "op9_byte_level_bpe": bpe_round_trip,
     "op10_source_mixing": source_mix,
+    "op11_hard_negatives": hard_negatives,
+    "op13_lexical_search": lexical_search,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -163,4 +179,31 @@ a AS (SELECT doc_id, size, source_size, target, epochs,
   FROM q JOIN e ON q.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target,
   CAST(size * (epochs + CASE WHEN 2 * ahead + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM a""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM e a JOIN e r ON a.vec_id % 50 = 0 AND a.vec_id IS DISTINCT FROM r.vec_id),
+g AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id ASC NULLS LAST) <= 5)
+SELECT g.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY g.anchor_id, positive_id ORDER BY score DESC, id ASC NULLS LAST) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM g JOIN p ON p.anchor_id = g.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS.format(_SMALL.format("coalesce(text, '')"))} AS terms FROM documents),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format(_SMALL.format("text"))}) AS term FROM benchmark)
+  GROUP BY ALL),
+c AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+m AS (SELECT doc_id, 75 + (25 * len(terms) * n) // l AS m FROM d, c),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20""",
 }

@@ -110,10 +110,9 @@ def owners(offs: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, places, "right") - 1
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word; words end at separators and at the ends of rows."""
-    n = len(data)
-    inside = ~SPACE[data]
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that are inside; runs end at the ends of rows too."""
+    n = len(inside)
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     before[offs[:-1][offs[:-1] < n]] = False
@@ -123,6 +122,11 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word; words end at separators and at the ends of rows."""
+    return runs(~SPACE[data], offs)
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, and the offsets of the rows in the list of words."""
     starts, ends = word_spans(data, offs)
