@@ -37,30 +37,44 @@ def _centred(x: np.ndarray, p: int) -> np.ndarray:
     return x - np.float32(p) * np.rint(x * np.float32(1 / p))
 
 
-def residue_product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The exact inner products of the rows of two integer matrices, as 64-bit integers.
+def moduli(left: np.ndarray, right: np.ndarray) -> list[int]:
+    """As many primes as the largest possible score of two matrices' rows asks for.
 
-    As many primes are used as the largest possible score asks for.
     ValueError if a score, or a hundred times it, could exceed 64 bits.
     """
     most = [int(np.abs(x).max()) if x.size else 0 for x in (left, right)]
-    bound = left.shape[1] * most[0] * most[1]
+    bound, weight, used = max(1, left.shape[1] * most[0] * most[1]), 1, []
     if 100 * bound >= 1 << 63:
         raise ValueError("scores of these vectors exceed 64 bits")
-    total, weight = np.zeros((len(left), len(right)), np.int64), 1
     for p in PRIMES:
-        if weight > 2 * bound:
-            break
+        if weight <= 2 * bound:
+            used.append(p)
+            weight *= p
+    return used
+
+
+def residues(matrix: np.ndarray, primes: list[int]) -> list[np.ndarray]:
+    """A component matrix per prime: residues of smallest magnitude in float32."""
+    return [((matrix + p // 2) % p - p // 2).astype(np.float32) for p in primes]
+
+
+def residue_product(left: list[np.ndarray], right: list[np.ndarray], primes: list[int]) -> np.ndarray:
+    """The exact inner products of the rows of two integer matrices, given by their residues."""
+    total, weight = None, 1
+    for a, b, p in zip(left, right, primes):
         half = p // 2
-        a, b = (((x + half) % p - half).astype(np.float32) for x in (left, right))
         step = (1 << 24) // (half * half)
-        residue = np.zeros(total.shape, np.float32)
-        for at in range(0, left.shape[1], step):
+        residue = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, a.shape[1], step):
             # A block's sum is below 2^24; its residue is added to one below p.
             residue = _centred(residue + _centred(a[:, at:at + step] @ b[:, at:at + step].T, p), p)
         # The next digit in mixed radix, of smallest magnitude, so that the number is signed.
-        digit = (residue.astype(np.int64) - total % p) * pow(weight, -1, p)
-        total += weight * ((digit + half) % p - half)
+        digit = residue.astype(np.int64)
+        if total is None:
+            total = (digit + half) % p - half
+        else:
+            digit = (digit - total % p) * pow(weight, -1, p)
+            total += weight * ((digit + half) % p - half)
         weight *= p
     return total
 
@@ -111,13 +125,14 @@ class _Tile:
 
     def scores(self):
         """(first anchor, scores of some anchors with all rows, whether labels are equal), block by block."""
-        step = max(1, SCORES // max(1, len(self.right)))
-        for at in range(0, len(self.left) if len(self.right) else 0, step):
+        if not len(self.left) or not len(self.right):
+            return
+        step = max(1, SCORES // len(self.right))
+        primes = moduli(self.left, self.right)
+        left, right = residues(self.left, primes), residues(self.right, primes)
+        for at in range(0, len(self.left), step):
             same = self.anchor_labels[at:at + step, None] == self.row_labels
-            yield at, residue_product(self.left[at:at + step], self.right), same
-
-
-_TILE = "asks boolean, uid long, id long, label string, vec array<int>"
+            yield at, residue_product([x[at:at + step] for x in left], right, primes), same
 
 
 def _tiles(rows: DataFrame, anchors: DataFrame, n_rows: int, n_anchors: int) -> DataFrame:
