@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,25 +78,27 @@ COLUMNS = 8192
 GROUP_SHINGLES = 250_000
 #: Bits of the filter of wanted documents: 16 for each of them, but no more than 2^27 (16 MB).
 FILTER_BITS = 1 << 27
+#: Words of the filter that come to the driver as one row.
+FILTER_PART = 1 << 16
 
 
-def _digest(items: np.ndarray) -> bytes:
+def digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _sketch_table(docs: DataFrame, width: int, t: int) -> DataFrame:
+def _sketch_table(docs: DataFrame, width: int, t: int, key: bytes) -> DataFrame:
     """doc, n (size of the set), digest of the set, and its bands (none for an empty set), for each (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in texts.pieces(batch.column(1)):
-                sets = texts.shingle_sets(texts.LOWER[data], offs, width)
+                sets = texts.shingle_sets(texts.LOWER[data], offs, width, key)
                 keys = bands(sketches(sets, t)).view(np.int64)
                 sizes = np.array([len(s) for s in sets])
                 ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, keys.shape[1], 0)))).astype(np.int32)
                 yield pa.record_batch([
                     batch.column(0)[a:b], pa.array(sizes),
-                    pa.array([_digest(s) for s in sets], pa.binary()),
+                    pa.array([digest(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].reshape(-1)))],
                     names=["doc", "n", "digest", "bands"])
 
@@ -109,15 +112,23 @@ def _filter(wanted: DataFrame):
     place = F.pmod(F.xxhash64("node"), F.lit(bits))
     words = (wanted.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w"))
              .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("bits")))
-    table = np.zeros(bits // 32, np.uint32)
-    for row in words.toLocalIterator():
-        table[row.w] = row.bits
+
+    def pack(group: pa.Table) -> pa.Table:
+        """One range of the filter as bytes."""
+        w, out = group.column("w").to_numpy(), np.zeros(FILTER_PART, np.uint32)
+        out[w % FILTER_PART] = group.column("bits").to_numpy()
+        return pa.table({"part": [int(w[0]) // FILTER_PART], "packed": [out.tobytes()]})
+
+    table = np.zeros(max(bits // 32, FILTER_PART), np.uint32)
+    parts = words.withColumn("part", F.expr(f"w DIV {FILTER_PART}")).groupBy("part").applyInArrow(pack, "part long, packed binary")
+    for row in parts.toLocalIterator():
+        table[row.part * FILTER_PART:(row.part + 1) * FILTER_PART] = np.frombuffer(row.packed, np.uint32)
     shared = spark.sparkContext.broadcast(table)
     return shared, F.pmod(F.xxhash64("doc"), F.lit(bits))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, set, items) with the packed sorted sets of every wanted node; ``set`` is the hash of the set's digest."""
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, key: bytes) -> DataFrame:
+    """(node, set, items), once each: the packed sorted sets of every wanted node; ``set`` is the hash of the set's digest."""
     table, place = _filter(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +136,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             at = batch.column(2).to_numpy()
             own = batch.filter(pa.array((table.value[at >> 5] >> (at & 31).astype(np.uint32) & 1) > 0))
             for a, b, data, offs in texts.pieces(own.column(1)):
-                sets = texts.shingle_sets(texts.LOWER[data], offs, width)
-                yield pa.record_batch([own.column(0)[a:b], pa.array([_digest(s) for s in sets], pa.binary()),
+                sets = texts.shingle_sets(texts.LOWER[data], offs, width, key)
+                yield pa.record_batch([own.column(0)[a:b], pa.array([digest(s) for s in sets], pa.binary()),
                                        pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "digest", "items"])
 
     found = (docs.withColumn("place", place).mapInArrow(run, "node long, digest binary, items binary")
              .where(F.octet_length("items") > 0).select("node", F.xxhash64("digest").alias("set"), "items"))
-    return found.join(wanted.select("node").distinct(), "node", "left_semi")
+    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "set"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
@@ -258,7 +269,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     per_mille = round(1000 * threshold)
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    table = settle(_sketch_table(own, width, n_bands(threshold) * BAND_ROWS))
+    key = os.urandom(16)
+    table = settle(_sketch_table(own, width, n_bands(threshold) * BAND_ROWS, key))
     known = table.where("doc IS NOT NULL AND n > 0")
     same = known.groupBy("digest").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = settle(same.select("node", F.xxhash64("digest").alias("set"), "n", "bands", "digest"))
@@ -266,14 +278,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots = nodes.select("node", "set", "n", F.explode("bands").alias("key"))
     crowded = slots.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
     slots = settle(slots.join(crowded.select("key", "lead"), "key"))
-    sets = settle(_sets_of(own, slots.select("node").distinct(), width))
+    sets = settle(sets_of(own, slots.select("node").distinct(), width, key))
 
     # First every member of a bucket with its leader; sizes alone rule many out.
     small, big = F.least("n", "lead.n"), F.greatest("n", "lead.n")
     pairs = (slots.where((F.col("node") != F.col("lead.node")) & (1000 * small >= per_mille * big))
              .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), big.alias("size"))
              .groupBy("a", "b").agg(F.max("size").alias("size")))
-    links = settle(_verify(pairs, sets, per_mille).unionByName(_own_links(table, nodes)))
+    links = settle(_verify(pairs, sets, per_mille).unionByName(own_links(table, nodes)))
     parts = settle(components(links))
 
     # Then what lies in one bucket but in different components.
@@ -297,7 +309,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("doc").isNull() | (F.col("doc") == F.col("component"))).alias("kept"))
 
 
-def _own_links(table: DataFrame, nodes: DataFrame) -> DataFrame:
+def own_links(table: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) of every document that has several sets, an empty one included, with the nodes of its sets."""
     several = (table.where("doc IS NOT NULL").groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
                .where("low < high").select("doc"))

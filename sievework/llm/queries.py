@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, classifier, digests, hardneg, lexical, minhash, mixing, repeats, rules, secrets, tokencounts, urls
+from sievework.llm import (bpe, classifier, digests, hardneg, lexical, minhash, mixing, parity, repeats, rules, secrets,
+                           tokencounts, urls)
 
 #: Name of the rank file in the package of public tokenizers.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -92,6 +93,10 @@ def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hardneg.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return parity.join(table(spark, folder, "documents", "doc_id", "text"), width=3, threshold=0.9)
+
+
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best documents of every benchmark item, over an index of all documents."""
     shards = lexical.store(lexical.index(table(spark, folder, "documents", "doc_id", "text")))
@@ -110,6 +115,7 @@ QUERIES = {
     "op9_byte_level_bpe": bpe_round_trip,
     "op10_source_mixing": source_mix,
     "op11_hard_negatives": hard_negatives,
+    "op12_ngram_jaccard_join": jaccard_join,
     "op13_lexical_search": lexical_search,
 }
 
@@ -117,19 +123,22 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-SQL = {
-    "op1_minhash_near_dedup": f"""
+# Components of documents whose shingle sets are similar enough: two percentages, and what is returned of each document.
+_LINKED = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_SMALL.format("coalesce(text, '')"))} AS words FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
   ELSE list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)]) END AS items FROM w),
 e AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
 links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.item = b.item AND a.doc_id <> b.doc_id
-  AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  AND 100 * least(a.n, b.n) >= %d * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= %d * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-SELECT doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
-FROM s JOIN low ON a = doc_id""",
+SELECT doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id%s
+FROM s JOIN low ON a = doc_id"""
+
+SQL = {
+    "op1_minhash_near_dedup": _LINKED % (85, 85, ", doc_id = component_id AS kept"),
     "op4_url_filters": r"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -193,6 +202,7 @@ SELECT g.anchor_id, positive_id,
   id AS negative_id, positive_score, score AS negative_score
 FROM g JOIN p ON p.anchor_id = g.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3""",
+    "op12_ngram_jaccard_join": _LINKED % (90, 90, ""),
     "op13_lexical_search": f"""
 WITH d AS (SELECT doc_id, {_TERMS.format(_SMALL.format("coalesce(text, '')"))} AS terms FROM documents),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format(_SMALL.format("text"))}) AS term FROM benchmark)

@@ -8,6 +8,7 @@ and not the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,20 +128,28 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return runs(~SPACE[data], offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, and the offsets of the rows in the list of words."""
-    starts, ends = word_spans(data, offs)
-    prefix, down = prefix_hash(data)
-    return span_hash(prefix, down, starts, ends), np.searchsorted(starts, offs, "left")
+def word_hashes(data: np.ndarray, offs: np.ndarray, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and the offsets of the rows in the list of words.
+
+    Each distinct word of a piece is hashed by a cryptographic function, so no
+    text can be made up to have the words of another one if the key is secret.
+    """
+    inside = ~SPACE[data]
+    starts, ends = runs(inside, offs)
+    places = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[inside])])
+    coded = words.dictionary_encode()
+    hashes = b"".join([hashlib.blake2b(w, digest_size=8, key=key).digest() for w in coded.dictionary.to_pylist()])
+    return np.frombuffer(hashes, np.uint64)[coded.indices.to_numpy()], np.searchsorted(starts, offs, "left")
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int, key: bytes = b"") -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its runs of ``width`` words.
 
     A row with fewer words has its whole word sequence as one shingle, a row
     without words none.
     """
-    words, rows = word_hashes(data, offs)
+    words, rows = word_hashes(data, offs, key)
     factors = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(_GOLDEN)) | np.uint64(1)
     n = len(words)
     runs = np.zeros(max(n - width + 1, 0), np.uint64)
