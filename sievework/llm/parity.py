@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.work import settle
@@ -102,65 +102,61 @@ def _sketch_table(docs: DataFrame, width: int, bands: Bands, key: bytes) -> Data
 
 
 def _again(members: DataFrame, sets: DataFrame, bands: Bands, seed: int) -> DataFrame:
-    """node, set, grp, n, band and the words of another sketch for each member of a crowded bucket."""
+    """uid, grp, band and the words of another sketch for each member of a crowded bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(5)]
-            yield pa.record_batch([*batch.columns[:5], _lists(items, batch.column(2).to_numpy(), bands, seed)],
-                                  names=["node", "set", "grp", "n", "band", "words"])
+            items = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(3)]
+            yield pa.record_batch([*batch.columns[:3], _lists(items, batch.column(1).to_numpy(), bands, seed)],
+                                  names=["uid", "grp", "band", "words"])
 
-    own = members.select("node", "set", "grp", "n", "band").distinct().join(sets, ["node", "set"])
-    return own.select("node", "set", "grp", "n", "band", "items").mapInArrow(
-        run, "node long, set long, grp long, n long, band long, words array<long>")
+    own = members.select("uid", "grp").distinct().join(sets, "uid").select("uid", "grp", "band", "items")
+    return own.mapInArrow(run, "uid long, grp long, band long, words array<long>")
+
+
+#: In a rank, the bit above the member's number: whether it is of the group's upper band.
+UPPER = 1 << 62
 
 
 def _slots(sketched: DataFrame, seed: int) -> DataFrame:
-    """One row per word: the member's place in the bucket ``key``, in buckets that hold another member too.
+    """key, rank, pos, lead: the members of all buckets with more than one, and the leader of each.
 
-    Each carries the bucket's leader, a member of the group's lower band; a
-    bucket without one is left to the group above.
+    A rank is the member's number, with one bit more in the upper band of its
+    group.  The lowest rank leads; a bucket without a member of the lower band
+    is left to the group above.  Nothing else travels with the many words that
+    no other member has.
     """
-    one = sketched.select("node", "set", "grp", "n", "band", F.posexplode("words").alias("pos", "word"))
-    one = one.withColumn("key", F.xxhash64(F.lit(seed), "grp", "pos", "word")).drop("word")
-    rank = F.struct(F.col("band"), F.xxhash64(F.lit(seed), "node").alias("draw"), "node", "set", "n")
-    heads = (one.groupBy("key").agg(F.min(rank).alias("lead"), F.first("grp").alias("of"), F.count("*").alias("size"))
-             .where("size > 1 AND lead.band = of").select("key", "lead", "size"))
+    rank = F.col("uid").bitwiseOR((F.col("band") - F.col("grp")) * F.lit(UPPER))
+    one = sketched.select("grp", rank.alias("rank"), F.posexplode("words").alias("pos", "word"))
+    one = one.select(F.xxhash64(F.lit(seed), "grp", "pos", "word").alias("key"), "rank", "pos")
+    heads = (one.groupBy("key").agg(F.min("rank").alias("lead"), F.count("*").alias("size"))
+             .where((F.col("size") > 1) & (F.col("lead") < UPPER)).select("key", "lead"))
     return one.join(heads, "key")
 
 
-def _similar(per_mille: int, small: Column, large: Column) -> Column:
-    return per_mille * large <= 1000 * small
-
-
 def _with_leaders(slots: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
     """Links (a, b) between leaders and members, verified on full sets in groups of bounded size."""
-    small, large = F.least("n", "lead.n"), F.greatest("n", "lead.n")
-    pairs = (slots.where((F.col("set") != F.col("lead.set")) & _similar(per_mille, small, large))
-             .select(F.col("lead.node").alias("a"), F.col("lead.set").alias("lead"), F.col("node").alias("b"), "set", large.alias("size"))
-             .groupBy("lead", "set", "a", "b").agg(F.max("size").alias("size")))
+    pairs = slots.where("rank <> lead").select("lead", F.col("rank").bitwiseAND(F.lit(UPPER - 1)).alias("uid")).distinct()
     pairs = settle(pairs)
-    load = pairs.groupBy("a", "lead").agg((F.sum("size") / GROUP_SHINGLES).cast("long").alias("parts"))
-    leaders = (load.join(sets.select(F.col("node").alias("a"), F.col("set").alias("lead"), "items"), ["a", "lead"])
-               .select("a", "lead", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"),
-                       F.lit(None).cast("long").alias("b"), "items"))
-    members = (pairs.join(load, ["a", "lead"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts") + 1))
-               .join(sets.withColumnRenamed("node", "b"), ["b", "set"]).select("a", "lead", "part", "b", "items"))
+    load = (pairs.groupBy("lead").agg(F.count("*").alias("deg")).join(sets.withColumnRenamed("uid", "lead"), "lead")
+            .withColumn("parts", (F.col("deg") * F.col("n") / GROUP_SHINGLES).cast("long")))
+    leaders = load.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"),
+                          F.lit(0).alias("second"), "node", "items")
+    members = (pairs.join(load.select("lead", "parts"), "lead").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts") + 1))
+               .join(sets, "uid").select("lead", "part", F.lit(1).alias("second"), "node", "items"))
 
     def compare(group: pa.Table) -> pa.Table:
-        own, found = np.frombuffer(group.column("items")[0].as_py(), np.uint64), []
-        others = group.column("b").to_pylist()
-        for b, raw in zip(others[1:], group.column("items")[1:]):
-            if _jaccard(own, np.frombuffer(raw.as_py(), np.uint64), per_mille):
-                found.append(b)
-        a = group.column("a")[0].as_py()
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        items, nodes = group.column("items"), group.column("node").to_pylist()
+        own = np.frombuffer(items[0].as_py(), np.uint64)
+        found = [b for b, raw in zip(nodes[1:], items[1:]) if _jaccard(own, np.frombuffer(raw.as_py(), np.uint64), per_mille)]
+        return pa.table({"a": pa.array([nodes[0]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-    # The leader is the row without b, which comes first.
-    return grouped.by_key(leaders.unionByName(members), ["lead", "a", "part"], ["b"], compare, "a long, b long")
+    return grouped.by_key(leaders.unionByName(members), ["lead", "part"], ["second"], compare, "a long, b long")
 
 
 def _jaccard(one: np.ndarray, other: np.ndarray, per_mille: int) -> bool:
+    if per_mille * max(len(one), len(other)) > 1000 * min(len(one), len(other)):
+        return False
     at = np.minimum(np.searchsorted(one, other), len(one) - 1)
     both = int(np.count_nonzero(one[at] == other))
     return 1000 * both >= per_mille * (len(one) + len(other) - both)
@@ -199,16 +195,16 @@ def _candidates(group: pa.Table, per_mille: int) -> list[tuple[int, int]]:
 def _between(members: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
     """Links (a, b) between members of a bucket in different components, one for each two components of a group.
 
-    ``members`` has key, grp, pos, node, set, n, band, component, words.  A
+    ``members`` has key, grp, pos, uid, node, n, band, component, words.  A
     bucket of more than ``BLOCK`` members is compared in pairs of blocks.  A
     first pass finds whose sketches are near another one's, so that only their
     sets travel; the pairs themselves are not written.
     """
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node", "set"), F.col("blocks")))
+    own = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")))
     # A member meets every block of its bucket once: as the smaller or the larger of two block numbers.
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["key", "i", "j", "mine", "grp", "pos", "node", "set", "n", "band", "component", "words"]
+    columns = ["key", "i", "j", "mine", "grp", "pos", "uid", "node", "n", "band", "component", "words"]
     own = own.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select(*columns)
     schema = ", ".join(f"{c} {'array<long>' if c == 'words' else 'int' if c == 'pos' else 'long'}" for c in columns)
 
@@ -226,8 +222,8 @@ def _between(members: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()),
                          "b": pa.array([b for _, b in found.values()], pa.int64())})
 
-    near = settle(grouped.by_key(own, ["key", "i", "j"], ["node", "set"], involved, schema))
-    return grouped.by_key(near.join(sets, ["node", "set"]), ["key", "i", "j"], ["node", "set"], compare, "a long, b long")
+    near = settle(grouped.by_key(own, ["key", "i", "j"], ["uid"], involved, schema))
+    return grouped.by_key(near.join(sets.select("uid", "items"), "uid"), ["key", "i", "j"], ["uid"], compare, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -248,28 +244,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     bands, key = Bands(per_mille), os.urandom(16)
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     table = settle(_sketch_table(own, width, bands, key))
-    known = table.where("doc IS NOT NULL AND n > 0").withColumn("set", F.xxhash64("digest"))
-    nodes = settle(known.groupBy("digest").agg(F.min("doc").alias("node"), *(F.first(c).alias(c) for c in (
-        "set", "n", "band", "here", "below"))))
+    known = table.where("doc IS NOT NULL AND n > 0")
+    nodes = known.groupBy("digest").agg(F.min("doc").alias("node"), *(F.first(c).alias(c) for c in ("n", "band", "here", "below")))
+    nodes = settle(nodes.withColumn("uid", F.monotonically_increasing_id()))
     both = F.array(F.struct(F.col("band").alias("grp"), F.col("here").alias("words")),
                    F.struct((F.col("band") - 1).alias("grp"), F.col("below").alias("words")))
-    sketched = nodes.select("node", "set", "n", "band", F.inline(both))
+    sketched = nodes.select("uid", "band", F.inline(both))
     slots = settle(_slots(sketched, 0))
-    sets = settle(minhash.sets_of(own, slots.select("node").distinct(), width, key))
+    number = F.col("rank").bitwiseAND(F.lit(UPPER - 1))
+    met = nodes.join(slots.select(number.alias("uid")).distinct(), "uid", "left_semi").select(
+        "uid", "node", "n", "band", F.xxhash64("digest").alias("set"))
+    sets = settle(minhash.sets_of(own, met.select("node"), width, key).join(met, ["node", "set"])
+                  .select("uid", "node", "n", "band", "items"))
     links = minhash.own_links(table, nodes)
 
     for level in range(LEVELS + 1):
         links = settle(links.unionByName(_with_leaders(slots, sets, per_mille)))
         parts = settle(components(links))
         # Leaders have been compared with everyone; the others of a bucket go on if they are in several components.
-        placed = (slots.where(F.col("set") != F.col("lead.set")).join(parts, "node", "left")
-                  .select("key", "grp", "pos", "node", "set", "n", "band", F.coalesce("component", "node").alias("component")))
+        about = (sets.select("uid", "node", "n", "band").join(parts, "node", "left")
+                 .withColumn("component", F.coalesce("component", "node")))
+        placed = (slots.where("rank <> lead").select("key", "pos", number.alias("uid"), F.shiftright("rank", 62).alias("upper"))
+                  .join(about, "uid").withColumn("grp", F.col("band") - F.col("upper")).drop("upper"))
         mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                           F.min("band").alias("least"), F.first("grp").alias("of"), F.count("*").alias("size"))
-                 .where("low < high AND least = of").select("key", "size"))
+                                           F.min(F.col("band") - F.col("grp")).alias("upper"), F.count("*").alias("size"))
+                 .where("low < high AND upper = 0").select("key", "size"))
         placed = settle(placed.join(mixed, "key"))
         few = placed if level == LEVELS else placed.where(F.col("size") <= CROWD)
-        links = links.unionByName(_between(few.join(sketched.select("node", "set", "grp", "words"), ["node", "set", "grp"]), sets, per_mille))
+        links = links.unionByName(_between(few.join(sketched.select("uid", "grp", "words"), ["uid", "grp"]), sets, per_mille))
         crowded = placed.where(F.col("size") > CROWD)
         if level == LEVELS or crowded.isEmpty():
             break
