@@ -128,8 +128,8 @@ def _filter(wanted: DataFrame):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int, key: bytes) -> DataFrame:
-    """(node, set, items), once each: the packed sorted sets of every wanted node; ``set`` is the hash of the set's digest."""
-    table, place = _filter(wanted)
+    """``wanted`` (node, set and more) with ``items``, the packed sorted set; ``set`` is the hash of the set's digest."""
+    table, place = _filter(wanted.select("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +142,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, key: bytes) -> DataF
 
     found = (docs.withColumn("place", place).mapInArrow(run, "node long, digest binary, items binary")
              .where(F.octet_length("items") > 0).select("node", F.xxhash64("digest").alias("set"), "items"))
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "set"])
+    return found.join(wanted, ["node", "set"]).dropDuplicates(["node", "set"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
@@ -278,7 +278,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots = nodes.select("node", "set", "n", F.explode("bands").alias("key"))
     crowded = slots.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
     slots = settle(slots.join(crowded.select("key", "lead"), "key"))
-    sets = settle(sets_of(own, slots.select("node").distinct(), width, key))
+    sets = settle(sets_of(own, slots.select("node", "set").distinct(), width, key))
 
     # First every member of a bucket with its leader; sizes alone rule many out.
     small, big = F.least("n", "lead.n"), F.greatest("n", "lead.n")

@@ -5,7 +5,10 @@ sketches differ in no more bits than their sets differ in shingles.  Sets are
 dealt into bands of sizes such that similar ones lie in the same or in
 neighbouring bands.  Where sets of a pair of bands may differ in d shingles,
 their sketches are cut into d + 1 words; similar sets then agree in one word
-at least, and meet in the bucket of that band, word number and word.
+at least, and meet in the bucket of that band, word number and word.  Words with
+hardly a shingle are the same by chance in many sets.  So sketches have 2 r
+words more, and each set leaves out the r words to which it has the fewest
+shingles; one of the words on which similar sets agree is still in both.
 
 In a bucket all sets are first compared with one leader.  Sets that are in
 different components after that are compared with each other: their sketches
@@ -32,6 +35,8 @@ from sievework.llm.components import components
 
 #: Members of a bucket from which it is dealt anew, and how often that is tried.
 CROWD, LEVELS = 256, 3
+#: Of so many words of a sketch a set leaves one out.
+LEAVE = 32
 #: Members of a crowded bucket in one block; a group compares two blocks.
 BLOCK = 256
 #: Shingles that are compared with one leader in one group.
@@ -54,55 +59,71 @@ class Bands:
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, "right") - 1
 
-    def words(self, group: int) -> int:
-        """Words in the sketches of a band and the next one: one more than similar sets can differ in shingles."""
+    def differ(self, group: int) -> int:
+        """In how many shingles similar sets of a band, or of a band and the next one, can differ."""
         small = int(self.lows[group + 1]) - 1
         large = 1000 * small // self.per_mille
-        return (small + large) * (1000 - self.per_mille) // (1000 + self.per_mille) + 1
+        return (small + large) * (1000 - self.per_mille) // (1000 + self.per_mille)
+
+    def left_out(self, group: int) -> int:
+        return (self.differ(group) + 1) // LEAVE
+
+    def words(self, group: int) -> int:
+        return self.differ(group) + 1 + 2 * self.left_out(group)
 
 
-def sketches(sets: list[np.ndarray], words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words of all sketches end to end, offsets): per set as many 64-bit words as asked for."""
+def sketches(sets: list[np.ndarray], words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of all sketches end to end, shingles in each, offsets): per set as many 64-bit words as asked for."""
     sizes = np.array([len(s) for s in sets])
     offs = np.concatenate(([0], np.cumsum(words)))
     out = np.zeros(offs[-1], np.uint64)
     items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     if not len(items):
-        return out, offs
+        return out, out.astype(np.int64), offs
     h = texts.mix(items + texts.salt(seed))
     place = ((h >> np.uint64(32)) * np.repeat(words, sizes).astype(np.uint64) >> np.uint64(32)) + np.repeat(offs[:-1], sizes).astype(np.uint64)
     flips = np.sort(place << np.uint64(6) | h & np.uint64(63))
     at = (flips >> np.uint64(6)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     out[at[first]] = np.bitwise_xor.reduceat(np.uint64(1) << (flips & np.uint64(63)), first)
-    return out, offs
+    return out, np.bincount(at, minlength=len(out)), offs
 
 
 def _lists(sets: list[np.ndarray], groups: np.ndarray, bands: Bands, seed: int) -> pa.Array:
-    """The sketches for a group of bands each; null for groups below the first, empty for empty sets."""
+    """The sketches for a group of bands each; empty for groups below the first and for empty sets.
+
+    Words that a set leaves out are null.
+    """
     asked = np.array([bands.words(g) if g >= 0 and len(s) else 0 for g, s in zip(groups.tolist(), sets)], np.int64)
-    flat, offs = sketches([s if n else s[:0] for s, n in zip(sets, asked)], asked, seed)
-    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat.view(np.int64)))
+    flat, held, offs = sketches([s if n else s[:0] for s, n in zip(sets, asked)], asked, seed)
+    gone = np.zeros(len(flat), bool)
+    for g, a, b in zip(groups.tolist(), offs[:-1].tolist(), offs[1:].tolist()):
+        few = bands.left_out(g) if a < b else 0
+        if few:
+            gone[a + np.argpartition(held[a:b], few - 1)[:few]] = True
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat.view(np.int64), mask=gone))
 
 
-def _sketch_table(docs: DataFrame, width: int, bands: Bands, key: bytes) -> DataFrame:
-    """doc, n (size of the set), digest of the set, band, and its sketches for its band and the one below."""
+def _set_table(docs: DataFrame, width: int, bands: Bands, key: bytes, sketched: bool) -> DataFrame:
+    """doc, n (size of the set), digest of the set and, if asked for, band and the sketches for it and the one below."""
+    schema = "doc long, n long, digest binary" + ", band long, here array<long>, below array<long>" * sketched
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in texts.pieces(batch.column(1)):
                 sets = texts.shingle_sets(texts.LOWER[data], offs, width, key)
                 sizes = np.array([len(s) for s in sets])
-                band = bands.of(sizes)
-                yield pa.record_batch([
-                    batch.column(0)[a:b], pa.array(sizes), pa.array([minhash.digest(s) for s in sets], pa.binary()), pa.array(band),
-                    _lists(sets, band, bands, 0), _lists(sets, band - 1, bands, 0)], names=["doc", "n", "digest", "band", "here", "below"])
+                out = [batch.column(0)[a:b], pa.array(sizes), pa.array([minhash.digest(s) for s in sets], pa.binary())]
+                if sketched:
+                    band = bands.of(sizes)
+                    out += [pa.array(band), _lists(sets, band, bands, 0), _lists(sets, band - 1, bands, 0)]
+                yield pa.record_batch(out, names=["doc", "n", "digest", "band", "here", "below"][:len(out)])
 
-    return docs.mapInArrow(run, "doc long, n long, digest binary, band long, here array<long>, below array<long>")
+    return docs.mapInArrow(run, schema)
 
 
 def _again(members: DataFrame, sets: DataFrame, bands: Bands, seed: int) -> DataFrame:
-    """uid, grp, band and the words of another sketch for each member of a crowded bucket."""
+    """uid, grp, band and the words of a sketch for each of some members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +149,7 @@ def _slots(sketched: DataFrame, seed: int) -> DataFrame:
     """
     rank = F.col("uid").bitwiseOR((F.col("band") - F.col("grp")) * F.lit(UPPER))
     one = sketched.select("grp", rank.alias("rank"), F.posexplode("words").alias("pos", "word"))
-    one = one.select(F.xxhash64(F.lit(seed), "grp", "pos", "word").alias("key"), "rank", "pos")
+    one = one.where("word IS NOT NULL").select(F.xxhash64(F.lit(seed), "grp", "pos", "word").alias("key"), "rank", "pos")
     heads = (one.groupBy("key").agg(F.min("rank").alias("lead"), F.count("*").alias("size"))
              .where((F.col("size") > 1) & (F.col("lead") < UPPER)).select("key", "lead"))
     return one.join(heads, "key")
@@ -138,12 +159,12 @@ def _with_leaders(slots: DataFrame, sets: DataFrame, per_mille: int) -> DataFram
     """Links (a, b) between leaders and members, verified on full sets in groups of bounded size."""
     pairs = slots.where("rank <> lead").select("lead", F.col("rank").bitwiseAND(F.lit(UPPER - 1)).alias("uid")).distinct()
     pairs = settle(pairs)
-    load = (pairs.groupBy("lead").agg(F.count("*").alias("deg")).join(sets.withColumnRenamed("uid", "lead"), "lead")
-            .withColumn("parts", (F.col("deg") * F.col("n") / GROUP_SHINGLES).cast("long")))
-    leaders = load.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"),
-                          F.lit(0).alias("second"), "node", "items")
-    members = (pairs.join(load.select("lead", "parts"), "lead").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts") + 1))
-               .join(sets, "uid").select("lead", "part", F.lit(1).alias("second"), "node", "items"))
+    load = (pairs.groupBy("lead").agg(F.count("*").alias("deg")).join(sets.select(F.col("uid").alias("lead"), "n"), "lead")
+            .select("lead", (F.col("deg") * F.col("n") / GROUP_SHINGLES).cast("long").alias("parts")))
+    leads = load.select(F.col("lead").alias("uid"), "lead", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"),
+                        F.lit(0).alias("second"))
+    others = pairs.join(load, "lead").select("uid", "lead", F.pmod(F.xxhash64("uid"), F.col("parts") + 1).alias("part"), F.lit(1).alias("second"))
+    placed = leads.unionByName(others).join(sets, "uid").select("lead", "part", "second", "node", "items")
 
     def compare(group: pa.Table) -> pa.Table:
         items, nodes = group.column("items"), group.column("node").to_pylist()
@@ -151,7 +172,7 @@ def _with_leaders(slots: DataFrame, sets: DataFrame, per_mille: int) -> DataFram
         found = [b for b, raw in zip(nodes[1:], items[1:]) if _jaccard(own, np.frombuffer(raw.as_py(), np.uint64), per_mille)]
         return pa.table({"a": pa.array([nodes[0]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-    return grouped.by_key(leaders.unionByName(members), ["lead", "part"], ["second"], compare, "a long, b long")
+    return grouped.by_key(placed, ["lead", "part"], ["second"], compare, "a long, b long")
 
 
 def _jaccard(one: np.ndarray, other: np.ndarray, per_mille: int) -> bool:
@@ -170,8 +191,9 @@ def _candidates(group: pa.Table, per_mille: int) -> list[tuple[int, int]]:
     """
     part, n, band, mine = (group.column(c).to_numpy() for c in ("component", "n", "band", "mine"))
     i, j, grp, pos = (group.column(c)[0].as_py() for c in ("i", "j", "grp", "pos"))
-    words = group.column("words").combine_chunks()
-    words = words.flatten().to_numpy().view(np.uint64).reshape(len(group), -1)
+    words = group.column("words").combine_chunks().flatten()
+    held = words.is_valid().to_numpy(zero_copy_only=False).reshape(len(group), -1)
+    words = words.fill_null(0).to_numpy().view(np.uint64).reshape(len(group), -1)
     left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
     found = []
     step = max(1, WORDS // max(1, len(right) * words.shape[1]))
@@ -185,9 +207,11 @@ def _candidates(group: pa.Table, per_mille: int) -> list[tuple[int, int]]:
             open_ &= x < y
         rows, cols = np.nonzero(open_)
         if len(rows):
-            differ = words[left[at + rows]] ^ words[right[cols]]
+            both = held[left[at + rows]] & held[right[cols]]
+            differ = np.where(both, words[left[at + rows]] ^ words[right[cols]], 0)
             bits = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
-            fits = (bits * (1000 + per_mille) <= total[rows, cols] * (1000 - per_mille)) & (differ[:, :pos] != 0).all(axis=1)
+            met = both[:, :pos] & (differ[:, :pos] == 0)
+            fits = (bits * (1000 + per_mille) <= total[rows, cols] * (1000 - per_mille)) & ~met.any(axis=1)
             found += zip(bits[fits].tolist(), left[at + rows[fits]].tolist(), right[cols[fits]].tolist())
     return [(x, y) for _, x, y in sorted(found)]
 
@@ -243,19 +267,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     per_mille = round(1000 * threshold)
     bands, key = Bands(per_mille), os.urandom(16)
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    table = settle(_sketch_table(own, width, bands, key))
-    known = table.where("doc IS NOT NULL AND n > 0")
+    table = settle(_set_table(own, width, bands, key, False))
+    # The sketches are made in a reading of their own, so that only those of distinct sets are written.
+    known = _set_table(own, width, bands, key, True).where("doc IS NOT NULL AND n > 0")
     nodes = known.groupBy("digest").agg(F.min("doc").alias("node"), *(F.first(c).alias(c) for c in ("n", "band", "here", "below")))
     nodes = settle(nodes.withColumn("uid", F.monotonically_increasing_id()))
     both = F.array(F.struct(F.col("band").alias("grp"), F.col("here").alias("words")),
                    F.struct((F.col("band") - 1).alias("grp"), F.col("below").alias("words")))
-    sketched = nodes.select("uid", "band", F.inline(both))
-    slots = settle(_slots(sketched, 0))
+    slots = settle(_slots(nodes.select("uid", "band", F.inline(both)), 0))
     number = F.col("rank").bitwiseAND(F.lit(UPPER - 1))
     met = nodes.join(slots.select(number.alias("uid")).distinct(), "uid", "left_semi").select(
         "uid", "node", "n", "band", F.xxhash64("digest").alias("set"))
-    sets = settle(minhash.sets_of(own, met.select("node"), width, key).join(met, ["node", "set"])
-                  .select("uid", "node", "n", "band", "items"))
+    sets = settle(minhash.sets_of(own, met, width, key).select("uid", "node", "n", "band", "items"))
     links = minhash.own_links(table, nodes)
 
     for level in range(LEVELS + 1):
@@ -271,12 +294,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                  .where("low < high AND upper = 0").select("key", "size"))
         placed = settle(placed.join(mixed, "key"))
         few = placed if level == LEVELS else placed.where(F.col("size") <= CROWD)
-        links = links.unionByName(_between(few.join(sketched.select("uid", "grp", "words"), ["uid", "grp"]), sets, per_mille))
+        words = _again(few, sets, bands, level).drop("band")
+        links = links.unionByName(_between(few.join(words, ["uid", "grp"]), sets, per_mille))
         crowded = placed.where(F.col("size") > CROWD)
         if level == LEVELS or crowded.isEmpty():
             break
-        sketched = settle(_again(crowded, sets, bands, level + 1))
-        slots = settle(_slots(sketched, level + 1))
+        slots = settle(_slots(settle(_again(crowded, sets, bands, level + 1)), level + 1))
 
     parts = components(links)
     named = table.select("doc", "n", "digest").join(nodes.select("digest", "node"), "digest", "left")

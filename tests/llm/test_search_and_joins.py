@@ -91,10 +91,10 @@ def test_sketch_distance_never_exceeds_the_difference_of_sets():
         pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
         for words in (1, 3, 40):
             a, b = np.unique(pool[:n]), np.unique(rng.choice(pool, n))
-            flat, offs = parity.sketches([a, b, a[:0]], np.array([words] * 3), 5)
+            flat, held, offs = parity.sketches([a, b, a[:0]], np.array([words] * 3), 5)
             one, other, empty = (flat[x:y] for x, y in zip(offs, offs[1:]))
             assert int(np.bitwise_count(one ^ other).sum()) <= len(np.setxor1d(a, b)) and not empty.any()
-            assert int(np.bitwise_count(one).sum()) % 2 == len(a) % 2
+            assert int(np.bitwise_count(one).sum()) % 2 == len(a) % 2 and held.sum() == len(a) + len(b)
 
 
 @pytest.mark.parametrize("per_mille", [500, 800, 900, 1000])
@@ -106,7 +106,7 @@ def test_bands_leave_no_similar_sizes_apart(per_mille):
             low, high = bands.of(np.array([a, b])).tolist()
             assert high - low in (0, 1)
             both = -(-per_mille * (a + b) // (1000 + per_mille))
-            assert a + b - 2 * both < bands.words(low)
+            assert a + b - 2 * both + 2 * bands.left_out(low) < bands.words(low)
 
 
 @pytest.mark.parametrize("crowd, block, threshold, width", [(256, 256, 0.8, 5), (5, 4, 0.9, 3)])
@@ -121,6 +121,7 @@ def test_join_links_near_copies(spark, monkeypatch, crowd, block, threshold, wid
     rows += [(d, " ".join(f"t{(d * 7 + i) % 13}" for i in range(d % 14))) for d in range(60)]
     rows += [(70, "a b c d e f"), (70, "g h i j k l"), (71, "A b C d e f"), (70, ""), (72, "g h i j k l"), (None, "a b c d e f"), (73, None)]
     monkeypatch.setattr(parity, "CROWD", crowd)
+    monkeypatch.setattr(parity, "LEAVE", 3)
     monkeypatch.setattr(parity, "BLOCK", block)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("set", F.lit("s")).withColumn("n", F.lit(1))
     label = near_brute([(d, t or "") for d, t in rows if d is not None], width, round(1000 * threshold))
