@@ -10,12 +10,13 @@ hardly a shingle are the same by chance in many sets.  So sketches have 2 r
 words more, and each set leaves out the r words to which it has the fewest
 shingles; one of the words on which similar sets agree is still in both.
 
-In a bucket all sets are first compared with one leader.  Sets that are in
+In a bucket all sets are first compared with one leader, in large ones those of
+other components with further leaders.  Sets that are in
 different components after that are compared with each other: their sketches
 first, whose distance rules out nearly all that are not similar, then the full
-sets.  Sets of crowded buckets are dealt anew by further, independent
-sketches, each time with other leaders; what is crowded still is compared
-block by block.  No link between components is lost at any of these steps, and
+sets.  A bucket crowded by many components is dealt anew by another,
+independent sketch; the others are compared block by block, but for blocks of
+one component.  No link between components is lost at any of these steps, and
 the links within a component are not written.
 """
 
@@ -33,8 +34,8 @@ from sievework.functions.work import settle
 from sievework.llm import grouped, minhash, texts
 from sievework.llm.components import components
 
-#: Members of a bucket from which it is dealt anew, and how often that is tried.
-CROWD, LEVELS = 256, 3
+#: Members of a bucket from which it gets further leaders, and how many; components from which it is dealt anew, and how often.
+CROWD, LEADERS, PARTS, LEVELS = 64, 4, 1024, 2
 #: Of so many words of a sketch a set leaves one out.
 LEAVE = 32
 #: Members of a crowded bucket in one block; a group compares two blocks.
@@ -155,10 +156,9 @@ def _slots(sketched: DataFrame, seed: int) -> DataFrame:
     return one.join(heads, "key")
 
 
-def _with_leaders(slots: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
-    """Links (a, b) between leaders and members, verified on full sets in groups of bounded size."""
-    pairs = slots.where("rank <> lead").select("lead", F.col("rank").bitwiseAND(F.lit(UPPER - 1)).alias("uid")).distinct()
-    pairs = settle(pairs)
+def _compared(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
+    """Links (a, b) among pairs (lead, uid), verified on full sets in groups of bounded size."""
+    pairs = settle(pairs.distinct())
     load = (pairs.groupBy("lead").agg(F.count("*").alias("deg")).join(sets.select(F.col("uid").alias("lead"), "n"), "lead")
             .select("lead", (F.col("deg") * F.col("n") / GROUP_SHINGLES).cast("long").alias("parts")))
     leads = load.select(F.col("lead").alias("uid"), "lead", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"),
@@ -224,10 +224,17 @@ def _between(members: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
     first pass finds whose sketches are near another one's, so that only their
     sets travel; the pairs themselves are not written.
     """
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")))
-    # A member meets every block of its bucket once: as the smaller or the larger of two block numbers.
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # The component of a member taken at random is most often the largest one.
+    rest = F.col("component") != F.col("main")
+    heads = members.groupBy("key").agg(F.max_by("component", F.xxhash64("uid", F.lit("main"))).alias("main"))
+    own = members.join(heads, "key")
+    blocks = own.groupBy("key").agg(F.ceil(F.count_if(rest) / BLOCK).alias("others"), F.ceil(F.count_if(~rest) / BLOCK).alias("same"))
+    own = own.join(blocks, "key").withColumn("mine", F.when(rest, F.pmod(F.xxhash64("uid"), F.col("others"))).otherwise(
+        F.col("others") + F.pmod(F.xxhash64("uid"), F.col("same"))))
+    # A member meets a block of its bucket once, as the smaller or the larger of two block numbers; those of the main
+    # component meet the others only.
+    last = F.when(rest, F.col("others") + F.col("same") - 1).otherwise(F.col("others") - 1)
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     columns = ["key", "i", "j", "mine", "grp", "pos", "uid", "node", "n", "band", "component", "words"]
     own = own.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select(*columns)
     schema = ", ".join(f"{c} {'array<long>' if c == 'words' else 'int' if c == 'pos' else 'long'}" for c in columns)
@@ -250,6 +257,22 @@ def _between(members: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
     return grouped.by_key(near.join(sets.select("uid", "items"), "uid"), ["key", "i", "j"], ["uid"], compare, "a long, b long")
 
 
+def _mixed(slots: DataFrame, sets: DataFrame, parts: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets that hold several components, with another leader each, and the members of all buckets.
+
+    The first leaders are left out: they have been compared with everyone.
+    """
+    about = sets.select("uid", "node", "n", "band").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = (slots.where("rank <> lead").select("key", "pos", F.col("rank").bitwiseAND(F.lit(UPPER - 1)).alias("uid"),
+                                                 F.shiftright("rank", 62).alias("upper")).join(about, "uid"))
+    head = F.max_by(F.struct("uid", "component", "upper"), F.xxhash64("uid", F.lit(turn)))
+    mixed = (placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("upper").alias("least"), head.alias("head"),
+        F.approx_count_distinct("component").alias("parts"), F.count("*").alias("size"))
+        .where("low < high AND least = 0").select("key", "head", "parts", "size"))
+    return mixed, placed
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -282,21 +305,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     links = minhash.own_links(table, nodes)
 
     for level in range(LEVELS + 1):
-        links = settle(links.unionByName(_with_leaders(slots, sets, per_mille)))
-        parts = settle(components(links))
-        # Leaders have been compared with everyone; the others of a bucket go on if they are in several components.
-        about = (sets.select("uid", "node", "n", "band").join(parts, "node", "left")
-                 .withColumn("component", F.coalesce("component", "node")))
-        placed = (slots.where("rank <> lead").select("key", "pos", number.alias("uid"), F.shiftright("rank", 62).alias("upper"))
-                  .join(about, "uid").withColumn("grp", F.col("band") - F.col("upper")).drop("upper"))
-        mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                           F.min(F.col("band") - F.col("grp")).alias("upper"), F.count("*").alias("size"))
-                 .where("low < high AND upper = 0").select("key", "size"))
-        placed = settle(placed.join(mixed, "key"))
-        few = placed if level == LEVELS else placed.where(F.col("size") <= CROWD)
+        links = settle(links.unionByName(_compared(slots.where("rank <> lead").select("lead", number.alias("uid")), sets, per_mille)))
+        for turn in range(LEADERS + 1):
+            mixed, placed = _mixed(slots, sets, settle(components(links)), turn)
+            large = placed.join(mixed.where(F.col("size") > CROWD), "key").where("component <> head.component AND upper + head.upper < 2")
+            if turn == LEADERS or large.isEmpty():
+                break
+            links = settle(links.unionByName(_compared(large.select(F.col("head.uid").alias("lead"), "uid"), sets, per_mille)))
+        placed = settle(placed.join(mixed.select("key", "parts"), "key"))
+        few = placed if level == LEVELS else placed.where(F.col("parts") <= PARTS)
+        few = few.withColumn("grp", F.col("band") - F.col("upper"))
         words = _again(few, sets, bands, level).drop("band")
         links = links.unionByName(_between(few.join(words, ["uid", "grp"]), sets, per_mille))
-        crowded = placed.where(F.col("size") > CROWD)
+        crowded = placed.where(F.col("parts") > PARTS).withColumn("grp", F.col("band") - F.col("upper"))
         if level == LEVELS or crowded.isEmpty():
             break
         slots = settle(_slots(settle(_again(crowded, sets, bands, level + 1)), level + 1))

@@ -121,6 +121,8 @@ def test_join_links_near_copies(spark, monkeypatch, crowd, block, threshold, wid
     rows += [(d, " ".join(f"t{(d * 7 + i) % 13}" for i in range(d % 14))) for d in range(60)]
     rows += [(70, "a b c d e f"), (70, "g h i j k l"), (71, "A b C d e f"), (70, ""), (72, "g h i j k l"), (None, "a b c d e f"), (73, None)]
     monkeypatch.setattr(parity, "CROWD", crowd)
+    monkeypatch.setattr(parity, "PARTS", crowd)
+    monkeypatch.setattr(parity, "LEADERS", 2)
     monkeypatch.setattr(parity, "LEAVE", 3)
     monkeypatch.setattr(parity, "BLOCK", block)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("set", F.lit("s")).withColumn("n", F.lit(1))
