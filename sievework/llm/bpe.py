@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from sievework.llm import texts
 
-#: Words whose ids a worker remembers, and transducer states it keeps; both start anew when full.
-REMEMBERED = 500_000
-STATES = 200_000
+#: Words whose ids a worker remembers, their bytes, transducer states and token pairs that it keeps; each starts anew when full.
+REMEMBERED, REMEMBERED_BYTES = 150_000, 4 << 20
+STATES, PAIRS = 50_000, 150_000
 #: Tokens that the decoder takes in one step.
 DECODE_BLOCK = 1 << 16
 
@@ -54,13 +54,13 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.openings = {token[:n] for token in ranks for n in range(1, len(token))}
-        self._agree: dict[tuple[int | None, int], bool] = {}
-        self._splits: dict[int, tuple[int, int] | None] = {}
-        self._edges: tuple[dict, dict] = {}, {}
         self.reset()
 
     def reset(self) -> None:
-        """Forget all states and start with the empty one."""
+        """Forget all states, and what was compiled of the ranks, and start with the empty state."""
+        self._agree: dict[tuple[int | None, int], bool] = {}
+        self._splits: dict[int, tuple[int, int] | None] = {}
+        self._edges: tuple[dict, dict] = {}, {}
         self._numbers: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._moves: list[dict[int, tuple[int, int, bool]]] = []
@@ -140,14 +140,17 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self._states) > STATES:
-            self.reset()
         out: list[int] = []
         lasts: list[int] = []
         state, moves = 0, self._moves
         for byte in data:
             step = moves[state].get(byte)
             if step is None:
+                if len(self._states) > STATES or len(self._agree) > PAIRS:
+                    # Go on from the same state, which gets a new number.
+                    kept = self._states[state]
+                    self.reset()
+                    state, moves = self._number(kept), self._moves
                 step = moves[state][byte] = self._move(state, byte)
             state, last, final = step
             lasts.append(last)
@@ -252,15 +255,18 @@ class Codec:
         self.bytes_of = [self.transducer.bytes_of.get(i, b"") for i in range(top)]
         self.decoder = Decoder(self.bytes_of)
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         known = self.known
         parts = self.split(text)
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:
             known.clear()
+            self.known_bytes = 0
         for part in set(parts).difference(known):
-            known[part] = np.array(self.transducer.encode(part.encode()), "<u4").tobytes()
+            known[part] = ids = np.array(self.transducer.encode(part.encode()), "<u4").tobytes()
+            self.known_bytes += len(ids)
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
 
     def decode(self, ids: np.ndarray) -> Iterator[bytes]:
@@ -331,3 +337,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
                                       names=[*own.schema.names[:-1], *(n for n, _ in added)])
 
     return source.mapInArrow(run, schema)
+
+
+def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """The input with the text of an array column of token ids, decoded character by character.
+
+    Null and empty arrays give an empty text; ids that are no token, or bytes
+    that are no UTF-8, stop the job.  A column named like the result is replaced.
+    """
+    lines = docs.sparkSession.sparkContext.broadcast(_file(ranks_path))  # of the vocabulary's size, whatever the table's
+    kept = [c for c in docs.columns if c != text_col]
+    source = docs.select(*kept, F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("__ids"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + [f"`{text_col}` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(lines.value, pattern)
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            flat, ends = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(coder.bytes_of) or not all(coder.bytes_of[i] for i in np.unique(flat))):
+                raise ValueError("an id is no token")
+            found = [b"".join(coder.decode(flat[a:b])).decode() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.string())], names=[*batch.schema.names[:-1], text_col])
+
+    return source.mapInArrow(run, schema)

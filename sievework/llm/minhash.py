@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.work import settle
-from sievework.llm import texts
+from sievework.llm import grouped, texts
 from sievework.llm.components import components
 
 #: Coordinates in a band.
@@ -169,7 +169,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
                         found.add(b)
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
 
-    return leaders.unionByName(members).groupBy("a", "part").applyInArrow(run, "a long, b long")
+    return grouped.by_key(leaders.unionByName(members), ["a", "part"], ["b"], run, "a long, b long")
 
 
 def _candidates(table: pa.Table, per_mille: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -248,8 +248,8 @@ def _between_parts(members: DataFrame, sets: DataFrame, per_mille: int) -> DataF
                          "b": pa.array([b for _, b in found.values()], pa.int64())})
 
     schema = "key long, i long, j long, mine long, node long, set long, component long, n long, able long, bands array<long>"
-    light = spread.groupBy("key", "i", "j").applyInArrow(involved, schema)
-    return light.join(sets, ["node", "set"]).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    light = grouped.by_key(spread, ["key", "i", "j"], ["node"], involved, schema)
+    return grouped.by_key(light.join(sets, ["node", "set"]), ["key", "i", "j"], ["node"], compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -288,8 +288,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = settle(_verify(pairs, sets, per_mille).unionByName(own_links(table, nodes)))
     parts = settle(components(links))
 
-    # Then what lies in one bucket but in different components.
-    placed = slots.join(parts, "node", "left").select(
+    # Then what lies in one bucket but in different components; leaders have been compared with everyone.
+    placed = slots.where(F.col("node") != F.col("lead.node")).join(parts, "node", "left").select(
         "key", "node", "set", "n", F.coalesce("component", "node").alias("component"))
     mixed = settle(_still_mixed(placed))
     seen = mixed.select("node", "set").distinct().join(sets, ["node", "set"]).select("set", "items")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import near_brute
 
-from sievework.llm import hardneg, lexical, minhash, parity, texts
+from sievework.llm import bpe, hardneg, lexical, minhash, parity, queries, texts
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -219,3 +219,30 @@ def test_reading_stops_early_and_never_below_the_best():
     flat = [lexical.ImpactList(docs, np.full(20_000, 5)) for _ in range(2)]
     found, score, read = lexical.best_positions(flat, [1, 2], 20_000, 10)
     assert len(found) == 20_000 and set(score.tolist()) == {15}
+
+
+# --- tokens
+
+def test_stored_ids_decode_to_the_texts(spark, odd, none):
+    ranks, pattern = queries.tokenizer()
+    for df in (odd, none):
+        encoded = bpe.encode_documents(df, ranks, pattern).select("doc_id", "text", "ids").withColumnRenamed("text", "was")
+        back = bpe.decode_documents(encoded, ranks, pattern)
+        assert back.columns == ["doc_id", "was", "ids", "text"]
+        assert all((r.was or "") == r.text for r in back.collect())
+    with pytest.raises(Exception, match="no token"):
+        bpe.decode_documents(spark.createDataFrame([([10 ** 9],)], "ids array<int>"), ranks, pattern).collect()
+
+
+def test_transducer_tables_stay_bounded_within_a_piece(monkeypatch):
+    ranks, _ = queries.tokenizer()
+    with open(ranks, "rb") as f:
+        machine = bpe.Transducer(bpe.read_ranks(f.read()))
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)).encode()
+    whole = machine.encode(text)
+    monkeypatch.setattr(bpe, "STATES", 500)
+    monkeypatch.setattr(bpe, "PAIRS", 900)
+    machine.reset()
+    assert machine.encode(text) == whole
+    assert len(machine._states) < 600 and len(machine._agree) < 2000
