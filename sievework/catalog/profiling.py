@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.catalog.cleaning import CUSTOMERS, PRIORITISED, customers, prioritised
 from sievework.catalog.registry import query, rounded, sql_left_bin, table
+from sievework.functions import sketches
 from sievework.functions.stats import wald_high, wald_low
 from sievework.operators import missing, profile, scaling
 from sievework.plans import steps
@@ -166,6 +167,39 @@ def _(spark, folder):
     return profile.compare_distribution(before, scaling.outliers(before, "value", "remove"), "value")
 
 
+def _on(t: str, n: int) -> str:
+    return f"SELECT {sql_left_bin('value', 'lo', 'w', n)} AS b, count(*) AS k FROM {t}, s GROUP BY 1"
+
+
+@query("compare_shared_histograms", f"""
+WITH f AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+a AS (SELECT value FROM events, f WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)),
+s AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 30 AS w FROM events),
+g AS (SELECT side, CAST(i AS INTEGER) AS bin FROM (VALUES ('before'), ('after')) v(side), range(30) r(i)),
+k AS (SELECT 'before' AS side, b, k FROM ({_on('events', 30)}) UNION ALL SELECT 'after', b, k FROM ({_on('a', 30)}))
+SELECT g.side, bin, round(lo + bin * w, 6) AS lo, round(CASE WHEN bin = 29 THEN hi ELSE lo + (bin + 1) * w END, 6) AS hi,
+  coalesce(k, 0) AS "value" FROM g CROSS JOIN s LEFT JOIN k ON k.side = g.side AND b = bin""")
+def _(spark, folder):
+    before = table(spark, folder, "events")
+    return rounded(profile.compare_histograms(before, scaling.outliers(before, "value", "remove"), "value"), 6, "lo", "hi")
+
+
+@query("sketched_quantiles", """
+SELECT c AS "column", p, count(*) AS n, TRUE AS within FROM lineitem,
+  (VALUES ('l_extendedprice'), ('l_quantity')) v(c), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) w(p) GROUP BY ALL""")
+def _(spark, folder):
+    """Quantiles of sketches of three versions, merged, and whether their true ranks are within the bound."""
+    lines = table(spark, folder, "lineitem")
+    parts = [sketches.sketch(lines.where(F.pmod("l_orderkey", F.lit(3)) == i), ["l_extendedprice", "l_quantity"]) for i in range(3)]
+    found = sketches.quantiles(sketches.merge(sketches.union(parts)), [0.25, 0.5, 0.75])
+    values = lines.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in ("l_extendedprice", "l_quantity")])))
+    ranks = values.join(F.broadcast(found.drop("n")), "column").groupBy("column", "p").agg(  # six rows
+        F.count("*").alias("n"), F.avg((F.col("x") < F.col("value")).cast("int")).alias("under"),
+        F.avg((F.col("x") <= F.col("value")).cast("int")).alias("upto"))
+    error = F.lit(sketches.RANK_ERROR)
+    return ranks.select("column", "p", "n", ((F.col("under") <= F.col("p") + error) & (F.col("upto") >= F.col("p") - error)).alias("within"))
+
+
 # --- per category ---
 
 BOX = """count(*) AS n, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, min({x}) AS "min",

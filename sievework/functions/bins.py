@@ -13,9 +13,12 @@ from sievework.functions.quantiles import quantiles
 
 @dataclass(frozen=True)
 class Bins:
+    """``n`` bins from ``lo`` to ``hi``; ``padded`` if they were made around a single value."""
+
     lo: float
     hi: float
     n: int
+    padded: bool = False
 
     @property
     def width(self) -> float:

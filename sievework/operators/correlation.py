@@ -17,7 +17,6 @@ from sievework.functions.stats import correlation, correlation_p_value
 from sievework.functions.work import one_row, settle
 
 CELLS_PER_STRIP = 500_000
-MAX_STRIPS = 2048
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -108,28 +107,37 @@ def _count_strip(strip: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"n": [n]})
 
 
+def _rising_ranges(totals: DataFrame, ranges: int) -> float:
+    """Weighted pairs of cells (bx, by, c) with a smaller x range and a smaller y range.
+
+    Such a pair differs at one highest bit of the number of its y range.  For
+    each bit the cells are added up per leading bits, x range and this bit; the
+    zeros of earlier x ranges come before the ones.  A window holds one row for
+    each x range that its leading bits have, however many rows there are.
+    """
+    parts = []
+    for bit in range(max(1, ranges.bit_length())):
+        lead, one = F.shiftright("by", bit + 1), F.shiftright("by", bit).bitwiseAND(F.lit(1)) == 1
+        held = totals.groupBy(lead.alias("lead"), "bx").agg(
+            F.sum(F.when(one, F.col("c")).otherwise(0.0)).alias("ones"), F.sum(F.when(~one, F.col("c")).otherwise(0.0)).alias("zeros"))
+        upto = Window.partitionBy("lead").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)
+        parts.append(held.select((F.col("ones") * F.coalesce(F.sum("zeros").over(upto), F.lit(0.0))).alias("n")))
+    return reduce(DataFrame.unionByName, parts).agg(F.sum("n")).first()[0] or 0.0
+
+
 def _concordant(cells: DataFrame, xs: Sequence[float], ys: Sequence[float]) -> float:
     """Pairs rising in both columns.
 
     Both columns are cut into ranges.  Pairs in different x ranges and
-    different y ranges are counted from the totals of the range grid; pairs
-    that share the x range, or else the y range, are counted strip by strip,
-    each in a task of its own.  A value that fills a range is alone in it and
-    cannot rise within it.
+    different y ranges are counted from the totals of the ranges that hold
+    cells; pairs that share the x range, or else the y range, are counted strip
+    by strip, each in a task of its own.  A value that fills a range is alone in
+    it and cannot rise within it.
     """
     grid = with_range(with_range(cells, "x", xs, "bx"), "y", ys, "by")
     inside = 0.0
-    if xs or ys:
-        totals = grid.groupBy("bx", "by").agg(F.sum("c").alias("c"))
-        # Totals of all smaller x ranges per y range, then of all smaller y ranges.
-        earlier = Window.partitionBy("by").orderBy("bx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = totals.groupBy("bx").agg(F.map_from_entries(F.collect_list(F.struct("by", "c"))).alias("m"))
-        long = rows.select("bx", "m", F.explode(F.sequence(F.lit(0), F.lit(len(ys)))).alias("by")).select(
-            "bx", "by", F.coalesce(F.try_element_at("m", F.col("by")), F.lit(0.0)).alias("c"))
-        upto = long.withColumn("left", F.sum("c").over(earlier) - F.col("c"))
-        below = Window.partitionBy("bx").orderBy("by").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        corner = upto.withColumn("corner", F.sum("left").over(below) - F.col("left"))
-        inside = corner.agg(F.sum(F.col("c") * F.col("corner"))).first()[0] or 0.0
+    if xs and ys:
+        inside = _rising_ranges(settle(grid.groupBy("bx", "by").agg(F.sum("c").alias("c"))), len(ys))
     same_x = grid.select(F.lit(0).alias("axis"), F.col("bx").alias("strip"), F.col("x").alias("a"),
                          F.col("y").alias("b"), "c")
     strips = same_x
@@ -139,8 +147,8 @@ def _concordant(cells: DataFrame, xs: Sequence[float], ys: Sequence[float]) -> f
         strips = same_x.unionByName(same_y)
     held = strips.groupBy("axis", "strip").agg(F.min("a").alias("a0"), F.max("a").alias("a1"),
                                                F.min("b").alias("b0"), F.max("b").alias("b1"))
-    # At most two strips per range; those with a single value on a side hold no rising pair.
-    live = F.broadcast(held.where("a0 < a1 and b0 < b1").select("axis", "strip"))
+    # Strips with a single value on a side hold no rising pair.
+    live = held.where("a0 < a1 and b0 < b1").select("axis", "strip")
     counted = strips.join(live, ["axis", "strip"], "left_semi").groupBy("axis", "strip").applyInPandas(
         _count_strip, "n double")
     return inside + (counted.agg(F.sum("n")).first()[0] or 0.0)
@@ -162,7 +170,7 @@ def kendall(df: DataFrame, x: str, y: str) -> float | None:
     pairs = n * (n - 1) / 2
     if pairs == tx or pairs == ty:
         return None
-    strips = min(MAX_STRIPS, math.ceil(row["cells"] / CELLS_PER_STRIP))
+    strips = math.ceil(row["cells"] / CELLS_PER_STRIP)
     xs, ys = column_splits(cells, [F.col("x"), F.col("y")], strips)
     rising = _concordant(cells, xs, ys)
     falling = pairs - tx - ty + both - rising

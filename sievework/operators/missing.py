@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions.counts import mode_of
+from sievework.functions import sketches
 from sievework.functions.quantiles import quantiles
 from sievework.functions.schema import (
     as_number, col, is_floating, is_missing, is_numeric, require_columns, require_numeric, type_of,
@@ -54,8 +55,11 @@ def drop_cols(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.drop(*columns_with_missing(df, cols))
 
 
-def fit_fill(df: DataFrame, cols: Sequence[str], strategy: str, value=None) -> dict[str, object]:
-    """Fill value per column; columns without one (all missing, or text for mean) are left out."""
+def fit_fill(df: DataFrame, cols: Sequence[str], strategy: str, value=None, approximate: bool = False) -> dict[str, object]:
+    """Fill value per column; columns without one (all missing, or text for mean) are left out.
+
+    ``approximate`` takes medians from sketches, within their error of rank.
+    """
     require_columns(df, cols)
     numeric = [c for c in cols if is_numeric(type_of(df, c))]
     if strategy == "mean":
@@ -63,6 +67,8 @@ def fit_fill(df: DataFrame, cols: Sequence[str], strategy: str, value=None) -> d
             return {}
         row = df.agg(*[F.avg(as_number(c)).alias(f"v{i}") for i, c in enumerate(numeric)]).first()
         found = {c: row[f"v{i}"] for i, c in enumerate(numeric)}
+    elif strategy == "median" and approximate:
+        found = {c: q[0] for c, q in sketches.approximate(df, numeric, [0.5]).items()} if numeric else {}
     elif strategy == "median":
         found = {c: q[0] for c, q in quantiles(df, {c: as_number(c) for c in numeric}, [0.5]).items()} if numeric else {}
     elif strategy == "mode":
@@ -90,12 +96,12 @@ def apply_fill(df: DataFrame, values: dict[str, object], into: str | None = None
 
 
 def fill(df: DataFrame, cols: Sequence[str] | None = None, strategy: str = "mean", value=None,
-         into: str | None = None) -> DataFrame:
-    """Fill missing values by column mean, median, mode or a constant."""
+         into: str | None = None, approximate: bool = False) -> DataFrame:
+    """Fill missing values by column mean, median (exact or ``approximate``), mode or a constant."""
     cols = list(cols) if cols else df.columns
     if into and len(cols) != 1:
         raise ValueError("into needs exactly one column")
-    return apply_fill(df, fit_fill(df, cols, strategy, value), into)
+    return apply_fill(df, fit_fill(df, cols, strategy, value, approximate), into)
 
 
 def fill_feature(df: DataFrame, column: str, strategy: str = "mean", value=None,

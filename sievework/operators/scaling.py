@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions import sketches
 from sievework.functions.quantiles import quantiles
 from sievework.functions.schema import as_number, col, require_numeric, type_of
 from sievework.functions.stats import deviation
@@ -14,16 +15,18 @@ from sievework.functions.stats import deviation
 METHODS = ("standard", "minmax", "robust")
 
 
-def fit_scale(df: DataFrame, cols: Sequence[str], method: str = "standard") -> dict[str, tuple[float, float]]:
-    """``column -> (centre, width)``; a width of zero is replaced by one."""
+def fit_scale(df: DataFrame, cols: Sequence[str], method: str = "standard", approximate: bool = False) -> dict[str, tuple[float, float]]:
+    """``column -> (centre, width)``; a width of zero is replaced by one.
+
+    ``approximate`` takes the quartiles of ``robust`` from sketches.
+    """
     if method not in METHODS:
         raise ValueError(f"Unknown method: {method}. Choose from {list(METHODS)}")
     require_numeric(df, cols)
     if method == "robust":
-        found = {
-            c: (q[1], None if q[1] is None else q[2] - q[0])
-            for c, q in quantiles(df, {c: as_number(c) for c in cols}, [0.25, 0.5, 0.75]).items()
-        }
+        probs = [0.25, 0.5, 0.75]
+        quarters = sketches.approximate(df, cols, probs) if approximate else quantiles(df, {c: as_number(c) for c in cols}, probs)
+        found = {c: (q[1], None if q[1] is None else q[2] - q[0]) for c, q in quarters.items()}
     else:
         aggs = []
         for i, c in enumerate(cols):
@@ -45,9 +48,9 @@ def apply_scale(df: DataFrame, fitted: Mapping[str, tuple[float, float]]) -> Dat
         c: (as_number(c) - F.lit(centre)) / F.lit(width) for c, (centre, width) in fitted.items()})
 
 
-def scale(df: DataFrame, cols: Sequence[str], method: str = "standard") -> DataFrame:
+def scale(df: DataFrame, cols: Sequence[str], method: str = "standard", approximate: bool = False) -> DataFrame:
     """Replace columns by (x - centre) / width: mean and population std, min and range, or median and IQR."""
-    return apply_scale(df, fit_scale(df, cols, method))
+    return apply_scale(df, fit_scale(df, cols, method, approximate))
 
 
 def zscore(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
@@ -73,10 +76,11 @@ def normalize(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
 # --- outliers -------------------------------------------------------------
 
 
-def fit_fences(df: DataFrame, column: str, k: float = 1.5) -> dict[str, float] | None:
-    """Quartiles and the fences ``k`` IQRs beyond them; None when the column is all missing."""
+def fit_fences(df: DataFrame, column: str, k: float = 1.5, approximate: bool = False) -> dict[str, float] | None:
+    """Quartiles (from a sketch if ``approximate``) and the fences ``k`` IQRs beyond them; None when all is missing."""
     require_numeric(df, [column])
-    q1, q3 = quantiles(df, {column: as_number(column)}, [0.25, 0.75])[column]
+    probs = [0.25, 0.75]
+    q1, q3 = (sketches.approximate(df, [column], probs) if approximate else quantiles(df, {column: as_number(column)}, probs))[column]
     if q1 is None:
         return None
     iqr = q3 - q1

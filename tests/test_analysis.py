@@ -55,7 +55,7 @@ def naive_tau(x, y):
     return (sx * sy).sum() / math.sqrt(np.abs(sx).sum() * np.abs(sy).sum())
 
 
-@pytest.mark.parametrize("strip", [500_000, 100])
+@pytest.mark.parametrize("strip", [500_000, 100, 50])
 def test_kendall(df, cloud, monkeypatch, strip):
     monkeypatch.setattr(correlation, "CELLS_PER_STRIP", strip)
     for a, b in (("a", "b"), ("b", "c")):
@@ -296,3 +296,49 @@ def test_bins_are_made_in_tasks(spark):
     rows = spark.createDataFrame([(v,) for v in np.linspace(0, 1, 500).tolist() + [1000.0]], "v double")
     hist = explore.histogram(rows, "v", "auto")
     assert hist.agg(F.sum("value")).first()[0] == 501 and hist.count() > 1000
+
+
+def test_sketches_merge_and_feed_from_a_stream(spark, tmp_path):
+    from sievework.functions import sketches
+    from sievework.operators import missing, scaling
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=30_000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.where(x > 0, np.nan, x), "g": np.arange(30_000) % 3})).repartition(6)
+
+    def rank_error(found):
+        return max(abs((x <= r.value).mean() - r.p) for r in found.where("column = 'x'").collect())
+
+    parts = sketches.sketch(df, ["x", "y"], ["g"])
+    assert parts.count() == 6
+    whole = sketches.merge(parts)
+    assert {r.column: r.n for r in whole.collect()} == {"x": 30_000, "y": int((x <= 0).sum())}
+    assert rank_error(sketches.quantiles(whole, [0.0, 0.1, 0.5, 0.99])) <= sketches.RANK_ERROR
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    sketches.keep(stream, ["x"], str(tmp_path / "out"), str(tmp_path / "check"), available_now=True).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.select("batch").distinct().count() >= 2
+    assert rank_error(sketches.quantiles(sketches.merge(stored), [0.25, 0.5])) <= sketches.RANK_ERROR
+    filled = missing.fit_fill(df, ["y"], "median", approximate=True)["y"]
+    assert abs((x[x <= 0] <= filled).mean() - 0.5) < 0.01
+    centre, width = scaling.fit_scale(df, ["x"], "robust", approximate=True)["x"]
+    assert abs(centre) < 0.05 and abs(width - 1.349) < 0.05
+    assert sketches.approximate(df.where("false"), ["x"], [0.5]) == {"x": [None]}
+
+
+def test_histograms_on_shared_edges(spark):
+    from sievework.operators import profile
+    before = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)], "x double")
+    got = {(r.side, r.bin): (r.lo, r.hi, r.value) for r in profile.compare_histograms(before, before.where("x < 4"), "x", 3).collect()}
+    assert got == {("before", 0): (0, 3, 3), ("before", 1): (3, 6, 3), ("before", 2): (6, 9, 4),
+                   ("after", 0): (0, 3, 3), ("after", 1): (3, 6, 1), ("after", 2): (6, 9, 0)}
+    assert profile.compare_histograms(before.where("false"), before.where("x IS NULL"), "x").count() == 0
+
+
+@pytest.mark.parametrize("values, bins", [([999.0, 1000.0, 1001.0], 4), ([0.0, 10.0], 4), ([5.0, 5.0], 3), ([0.0, 0.0], 2),
+                                          ([0.00012, 0.0345, 0.2], 5), ([-7.25, 1e6], 6), ([1.0, 1.0000001], 3)])
+def test_bin_labels_are_those_of_pandas(spark, values, bins):
+    from sievework.operators import features
+    got = features.binning(spark.createDataFrame([(v,) for v in values], "x double"), "x", bins, "b", labels=True)
+    want = pd.cut(pd.Series(values), bins, include_lowest=True).astype(str)
+    assert {r.x: r.b for r in got.collect()} == dict(zip(values, want))

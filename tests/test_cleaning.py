@@ -67,10 +67,13 @@ def brute_force(pdf, targets, feats, k):
     return out
 
 
-@pytest.mark.parametrize("rows_per_box, piece", [(100_000, 50_000), (150, 40)])
-def test_knn_equals_brute_force(spark, monkeypatch, rows_per_box, piece):
+@pytest.mark.parametrize("rows_per_box, piece, depth", [(100_000, 50_000, 10), (150, 40, 10), (20, 100, 2)])
+def test_knn_equals_brute_force(spark, monkeypatch, rows_per_box, piece, depth):
+    """One box, boxes cut once, and boxes cut again within boxes."""
     monkeypatch.setattr(knn, "ROWS_PER_BOX", rows_per_box)
     monkeypatch.setattr(knn, "PIECE_ROWS", piece)
+    monkeypatch.setattr(knn, "DEPTH", depth)
+    monkeypatch.setattr(knn, "SMALL_WORK", 0)
     rng = np.random.default_rng(3)
     n = 1200
     pdf = pd.DataFrame({"id": np.arange(n), "a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float),
@@ -89,6 +92,23 @@ def test_knn_equals_brute_force(spark, monkeypatch, rows_per_box, piece):
     assert got[["y", "w"]].notna().all().all()
 
 
+def test_approximate_knn_finds_most_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS_PER_BOX", 60)
+    monkeypatch.setattr(knn, "SAMPLE_PER_BOX", 1 << 20)
+    rng = np.random.default_rng(5)
+    n, k, z = 1500, 5, ["a", "b", "c", "d"]
+    pdf = pd.DataFrame(rng.normal(size=(n, 4)), columns=z).assign(rid=np.arange(n), y=rng.normal(size=n))
+    imp = spark.createDataFrame(pdf[z].iloc[:200].assign(qid=np.arange(200)))
+    ref = spark.createDataFrame(pdf.iloc[200:])
+    found = knn._probable(imp, ref, z, ["y"], k).toPandas().sort_values(["qid", "dist"]).groupby("qid").head(k)
+    x, known = pdf[z].to_numpy()[:200], pdf[z].to_numpy()[200:]
+    near = np.argsort(((x[:, None] - known[None]) ** 2).sum(axis=2), axis=1)[:, :k] + 200
+    caught = [len(set(found.loc[found.qid == q, "rid"]) & set(near[q])) for q in range(200)]
+    assert sum(caught) / (200 * k) >= 0.9
+    out = knn.knn_impute(spark.createDataFrame(pdf.assign(y=pdf["y"].where(pdf.index >= 50))), ["y"], k, id_col="rid", approximate=True)
+    assert out.count() == n and out.where("y IS NULL").count() == 0
+
+
 def test_knn_errors_and_no_gap(spark):
     full = spark.createDataFrame([(1, 1.0, 2.0), (2, 2.0, 3.0)], "id int, x double, y double")
     assert knn.knn_impute(full, ["y"], id_col="id").count() == 2
@@ -222,6 +242,7 @@ def test_stored_fit(spark):
 @pytest.mark.parametrize("rows_per_box", [4, 4096])
 def test_knn_needs_no_whole_or_distinct_ids(spark, monkeypatch, rows_per_box):
     monkeypatch.setattr(knn, "ROWS_PER_BOX", rows_per_box)
+    monkeypatch.setattr(knn, "SMALL_WORK", 0)
     made = [(i, float(i), float(i)) for i in range(1, 21)] + [(None, 3.0, None), (30, 3.0, None), (30, 17.0, None), (None, 12.0, 12.0)]
     rows = spark.createDataFrame(made, "id long, f double, v double")
     got = sorted((r.f, r.v) for r in knn.knn_impute(rows, ["v"], 1, id_col="id").collect())
