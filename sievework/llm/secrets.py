@@ -5,8 +5,9 @@ construction, minimised, and stored as one transition array over byte classes.
 One pass over the bytes, from the end of each text to its beginning, then gives
 for every position the rules that match from there.  Many stretches of text
 advance together, one byte a step: texts are cut behind bytes after which the
-automaton is in one and the same state wherever it was before.  From the
-starts, the forward automaton of the rule finds the longest match.
+automaton is in one and the same state wherever it was before; the few longest
+stretches go one by one.  From the starts, the forward automaton of the rule
+finds the longest match; runs that leave its state as it is are taken at once.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from sievework.llm import texts
 
 #: Bytes of text that one scan takes in together.
 BLOCK = 4 << 20
+#: Fewer stretches than this are read one after the other, since a step over arrays then costs more.
+FEW = 16
+#: Bytes in one state after which the end of the run is searched.
+LOOP = 8
 
 
 @dataclass(frozen=True)
@@ -143,6 +148,52 @@ class Automaton:
         table = self.step.reshape(-1, self.n_classes)
         return (table == table[0]).all(axis=0)[self.byte_class]
 
+    def rows(self) -> list[list[int]]:
+        """The transitions as plain lists, which single steps read faster."""
+        return self.step.reshape(-1, self.n_classes).tolist()
+
+    def classes(self, raw: bytes) -> bytes:
+        return raw.translate(bytes(self.byte_class.tolist()))
+
+
+class _Runner:
+    """Longest matches of one rule in a block; in a state that stays as it is, a run of bytes is one step."""
+
+    def __init__(self, a: Automaton):
+        self.a, self.rows, self.accepts = a, a.rows(), (a.accepts > 0).tolist()
+        stays = a.step.reshape(-1, a.n_classes) == np.arange(len(a.accepts))[:, None]
+        self.dead = (stays.all(axis=1) & (a.accepts == 0)).tolist()
+        self.stays, self.which = np.unique(stays, axis=0, return_inverse=True)
+        self.which = [int(w) if self.stays[w].any() else -1 for w in self.which.reshape(-1)]
+
+    def load(self, data: np.ndarray, raw: bytes) -> None:
+        self.data, self.bytes, self.leaves = data, self.a.classes(raw), {}
+
+    def _run_end(self, which: int, at: int) -> int:
+        """The first place from ``at`` on whose byte leaves the state."""
+        if which not in self.leaves:
+            self.leaves[which] = np.flatnonzero(~self.stays[which][self.a.byte_class][self.data])
+        leaves = self.leaves[which]
+        i = int(np.searchsorted(leaves, at))
+        return int(leaves[i]) if i < len(leaves) else len(self.data)
+
+    def longest(self, at: int, stop: int) -> int:
+        """The end of the longest match from ``at``, -1 without one."""
+        rows, accepts, dead, which, classes = self.rows, self.accepts, self.dead, self.which, self.bytes
+        state, end, stayed = self.a.start, -1, 0
+        while at < stop:
+            to = rows[state][classes[at]]
+            at += 1
+            stayed = stayed + 1 if to == state else 0
+            state = to
+            if stayed == LOOP and which[state] >= 0:
+                at, stayed = max(at, min(stop, self._run_end(which[state], at))), 0
+            if accepts[state]:
+                end = at
+            elif dead[state]:
+                break
+        return end
+
 
 def compile_rules(regexes: Sequence[str], backwards: bool, anywhere: bool) -> Automaton:
     """One minimal automaton for all patterns; ``anywhere`` lets matches begin at every byte."""
@@ -206,7 +257,8 @@ class Scanner:
     def __init__(self, rules: Sequence[SecretRule]):
         self.rules = list(rules)
         self.back = compile_rules([r.regex for r in rules], True, True)
-        self.ahead = [compile_rules([r.regex], False, False) for r in rules]
+        self.ahead = [_Runner(compile_rules([r.regex], False, False)) for r in rules]
+        self.back_rows, self.back_accepts = self.back.rows(), self.back.accepts.tolist()
         self.exact = [re.compile(r.regex.encode()) for r in rules]
 
     def starts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +276,8 @@ class Scanner:
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # stretches longer than each step's number
         hits, bits = [], []
         begins = a.accepts > 0
-        for j, n in enumerate(active.tolist()):
+        wide = int(np.count_nonzero(active >= FEW))
+        for j, n in enumerate(active[:wide].tolist()):
             at = ends[:n] - (j + 1)
             now = a.step[states[:n] * a.n_classes + classes[at]]
             states[:n] = now
@@ -232,23 +285,29 @@ class Scanner:
             if len(hot):
                 hits.append(at[hot])
                 bits.append(a.accepts[now[hot]])
+        if wide < len(active):
+            for i in range(int(active[wide])):  # the few longest stretches, one after the other
+                first, last = int(ends[i] - lengths[i]), int(ends[i]) - wide
+                found = self._walk(a.classes(data[first:last].tobytes()), int(states[i]))
+                if len(found[0]):
+                    hits.append(last - 1 - found[0])
+                    bits.append(found[1])
         if not hits:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         hits, bits = np.concatenate(hits), np.concatenate(bits)
         order = np.argsort(hits, kind="stable")
         return hits[order], bits[order]
 
-    def _longest(self, k: int, raw: bytes, at: int, stop: int) -> int:
-        a = self.ahead[k]
-        state, end, classes, step, n = a.start, -1, a.byte_class, a.step, a.n_classes
-        while at < stop:
-            state = int(step[state * n + classes[raw[at]]])
-            at += 1
-            if a.accepts[state]:
-                end = at
-            elif (step[state * n:(state + 1) * n] == state).all():
-                break  # no way out of here
-        return end
+    def _walk(self, classes: bytes, state: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes from the end, rule bits) where matches begin in one stretch, read backwards."""
+        rows, accepts = self.back_rows, self.back_accepts
+        hits, bits = [], []
+        for j, c in enumerate(reversed(classes)):
+            state = rows[state][c]
+            if accepts[state]:
+                hits.append(j)
+                bits.append(accepts[state])
+        return np.array(hits, np.int64), np.array(bits, np.int64)
 
     def spans(self, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """Per text (rule number, start, end) in bytes, by rule leftmost and not overlapping, ordered by start and rule."""
@@ -257,19 +316,21 @@ class Scanner:
         if not len(hits):
             return out
         raw, rows = data.tobytes(), texts.owners(offs, hits)
+        bounds = offs.tolist()
         for k, rule in enumerate(self.rules):
-            free, last = 0, -1
             own = np.flatnonzero(bits >> k & 1)
-            for at, row in zip(hits[own].tolist(), rows[own].tolist()):
-                if row != last:
-                    free, last = 0, row
-                if at < free:
-                    continue
-                end = self._longest(k, raw, at, int(offs[row + 1]))
-                free = end
+            places, owners = hits[own], rows[own]
+            self.ahead[k].load(data, raw)
+            i = 0
+            while i < len(places):
+                at, row = int(places[i]), int(owners[i])
+                end = self.ahead[k].longest(at, bounds[row + 1])
                 match = self.exact[k].fullmatch(raw, at, end)
                 if match and len(match[rule.group]) >= rule.least:
-                    out[row].append((k, at - int(offs[row]), end - int(offs[row])))
+                    out[row].append((k, at - bounds[row], end - bounds[row]))
+                i += 1
+                if i < len(places) and places[i] < end:  # starts within the match; no match goes beyond its text
+                    i = int(np.searchsorted(places, end))
         for own in out:
             own.sort(key=lambda s: (s[1], s[0]))
         return out

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -304,6 +306,29 @@ def test_secrets(spark, odd, clashing, none, documents, texts_of):
     assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("few", [1, 16, 1000])
+def test_secrets_in_long_texts(monkeypatch, few):
+    """Long runs and many secrets, by steps over all stretches and by walks along each."""
+    monkeypatch.setattr(secrets, "FEW", few)
+    rng, table = random.Random(4), secrets.BASE + secrets.MORE
+    word = string.ascii_letters + string.digits
+    made = ["token=" + "".join(rng.choices(word, k=30_000)), " ".join("token=" + "".join(rng.choices(word, k=8)) for _ in range(2000)),
+            "".join(rng.choices("0123456789abcdef", k=30_000)), "AKIA" * 5000, "token=" * 5000, "ab://c:d@" * 3000, "eyJa.eyJb.c" * 3000,
+            "-----BEGIN " * 3000, "", "é" * 30 + "0" * 30]
+    data = [t.encode() for t in made]
+    found = secrets.Scanner(table).spans(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+    for d, got in zip(data, found):
+        assert got == sorted(((k, m.start(), m.end()) for k, r in enumerate(table) for m in re.finditer(r.regex.encode(), d)
+                              if len(m[r.group]) >= r.least), key=lambda s: (s[1], s[0]))
+
+
+def test_secrets_in_a_megabyte_of_hostile_text():
+    made = b"token=" + b"Z9" * 250_000 + b" " + b"secret: abcdefg " * 32_000
+    begin = time.process_time()
+    found = secrets.Scanner(secrets.BASE + secrets.MORE).spans(np.frombuffer(made, np.uint8), np.array([0, len(made)]))[0]
+    assert len(found) == 32_001 and time.process_time() - begin < 5
+
+
 def test_automaton_is_minimal_and_rejects_unknown_parts():
     a = secrets.compile_rules(["ab|cb", "x{2,3}"], False, False)
     assert len(a.accepts) == 7  # start, after a or c, after b, x, xx, xxx, and where nothing can follow
