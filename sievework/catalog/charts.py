@@ -172,6 +172,25 @@ def _(spark, folder):
     return rounded(out, 6, "x", "y")
 
 
+@query("density_2d_binned", """
+WITH r AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part),
+f AS (SELECT count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(x) AS mx, avg(y) AS my,
+    pow(count(*), -1.0 / 3) AS h, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM r),
+k AS (SELECT *, sqrt(xx * h) AS a, xy * sqrt(h / xx) AS b, sqrt(h * (yy - xy * xy / xx)) AS c FROM f),
+w AS (SELECT 16 * (x - mx) / a AS u, 16 * (y - my - b * (x - mx) / a) / c AS v FROM r, k),
+s AS (SELECT floor(u) + p AS i, floor(v) + q AS j,
+    sum(abs(1 - p - (u - floor(u))) * abs(1 - q - (v - floor(v)))) AS held FROM w, range(2) t1(p), range(2) t2(q) GROUP BY ALL),
+g AS (SELECT CAST(e AS INTEGER) AS gx, CAST(o AS INTEGER) AS gy, x0 + e * (x1 - x0) / 11 AS px, y0 + o * (y1 - y0) / 11 AS py, n, a * c AS root,
+    16 * (px - mx) / a AS pu, 16 * (py - my - b * (px - mx) / a) / c AS pv FROM range(12) t(e) CROSS JOIN range(12) t2(o), k)
+SELECT gx, gy, round(px, 6) AS x, round(py, 6) AS y,
+    round(1e6 * sum(held * exp(-0.5 * ((i - pu) * (i - pu) + (j - pv) * (j - pv)) / 256)) / (any_value(n) * 2 * pi() * any_value(root)), 4) AS density
+FROM g, s GROUP BY gx, gy, px, py""")
+def _(spark, folder):
+    out = explore.density2d(table(spark, folder, "part"), "p_size", "p_retailprice", 12, approximate=True)
+    out = out.withColumn("density", F.round(F.col("density") * 1e6, 4))
+    return rounded(out, 6, "x", "y")
+
+
 @query("contingency", """
 WITH o AS (SELECT coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END, '<<MISSING>>') AS x, o_orderstatus AS y FROM orders),
 k AS (SELECT y, x, count(*) AS k FROM o GROUP BY ALL)

@@ -175,6 +175,22 @@ def test_density(df, cloud):
         assert row["density"] == pytest.approx(np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, inv, d)).sum() / norm)
 
 
+def test_binned_density_keeps_its_bound(spark, df, cloud):
+    pairs = cloud[["b", "c"]].dropna().to_numpy()
+    kernel = np.cov(pairs.T) * len(pairs) ** (-1 / 3)
+    bound = 1 / (4 * explore.CELLS_PER_WIDTH ** 2) / (2 * np.pi * math.sqrt(np.linalg.det(kernel)))
+    for grid in (1, 9):
+        exact = explore.density2d(df, "b", "c", grid).orderBy("gx", "gy").toPandas()
+        got = explore.density2d(df, "b", "c", grid, approximate=True).orderBy("gx", "gy").toPandas()
+        assert len(got) == grid * grid and np.allclose(got[["x", "y"]], exact[["x", "y"]])
+        error = np.abs(got["density"] - exact["density"]).max()
+        assert error <= bound and (grid == 1 or error < 1e-3 * exact["density"].max())
+    # Two heaps far apart: grid points that no kernel reaches are zero, and none is missing.
+    far = spark.createDataFrame([(float(i % 7 + 1e4 * (i % 2)), float(i % 5 - 1e4 * (i % 3))) for i in range(4000)], "x double, y double")
+    rows = explore.density2d(far, "x", "y", 6, approximate=True).toPandas()
+    assert len(rows) == 36 and rows["density"].min() >= 0
+
+
 @pytest.mark.parametrize("name, bins", [("b", 30), ("a", 13), ("k", 4), ("b", "auto")])
 def test_histogram(df, cloud, name, bins):
     counts, edges = np.histogram(cloud[name], bins)
