@@ -74,6 +74,21 @@ def _(spark, folder):
     return plain_times(live.drain(found, "sessions"), "session_start", "session_end")
 
 
+@query("stream_counts_closed", f"""
+SELECT date_trunc('day', ts) AS window_start, event_type AS event, count(*) FILTER (v = '(not set)') AS not_set,
+    count(*) FILTER (v = 'A') AS "A", count(*) FILTER (v = 'B') AS "B", count(*) AS total
+FROM (SELECT ts, event_type, {ASSIGNED} AS v FROM events) GROUP BY 1, 2""")
+def _(spark, folder):
+    counts = live.stream_counts(event_stream(spark, folder), "event_type", assigned())
+    return plain_times(live.drain(counts, "counts", live.open_counts), "window_start")
+
+
+@query("stream_sessions_closed", SESSIONS.format(gap=14400) + " SELECT * FROM sessions")
+def _(spark, folder):
+    found = live.stream_sessions(event_stream(spark, folder), gap="4 hours")
+    return plain_times(live.drain(found, "sessions", live.open_sessions), "session_start", "session_end")
+
+
 @query("stream_clean", """
 WITH f AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
 c AS (SELECT event_id, upper(event_type) AS event_type, least(value, q3 + 1.5 * (q3 - q1)) AS value FROM events, f WHERE user_id % 10 <> 0)

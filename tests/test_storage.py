@@ -69,6 +69,28 @@ def test_stream_drops_repeats_and_counts(spark, tmp_path):
     assert closed.count() == 0
 
 
+def test_drained_stream_gives_open_windows_too(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 600 + F.when(F.col("id") > 250, 50_000).otherwise(0)
+                                                           + 1704067200).alias("ts"),
+        F.when(F.col("id") % 3 == 0, "click").otherwise("view").alias("event_type"), (F.col("id") % 2).alias("user_id"))
+    for i in range(3):  # in order, so that none is late
+        rows.where(f"event_id div 150 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def same(make, still_open):
+        batch, written = make(rows), live.drain(make(stream))
+        whole = live.drain(make(stream), still_open=still_open)
+        assert written.count() < batch.count() and whole.columns == batch.columns
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, batch.collect()))
+
+    same(lambda e: live.stream_counts(e, "event_type", F.lit("B"), window="5 hours"), live.open_counts)
+    same(lambda e: live.stream_sessions(e, gap="30 minutes"), live.open_sessions)
+    (tmp_path / "none").mkdir()
+    none = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "none"))
+    assert live.drain(live.stream_sessions(none), still_open=live.open_sessions).count() == 0
+
+
 def test_column_types(spark):
     df = spark.createDataFrame([(1, "a", True)], "n int, s string, b boolean")
     got = [(r["column"], r["is_numeric"], r["is_categorical"]) for r in schema.column_types(df).collect()]
