@@ -13,6 +13,8 @@ from sievework.functions.schema import col, is_missing, require_categorical, req
 SMALL_VALUE_TABLE = 100_000
 VALUES_PER_RANGE = 500_000
 SPLIT_CANDIDATES = 20_000
+#: Indicator columns that a plan can still name; a caller may allow more.
+MAX_COLUMNS = 10_000
 
 
 def _text_splits(values: DataFrame, n: int) -> list[str]:
@@ -72,18 +74,18 @@ def label(df: DataFrame, cols: Sequence[str], missing_text: str = "nan") -> Data
     return out
 
 
-def categories(df: DataFrame, column: str, max_values: int | None = None) -> list:
-    """Sorted distinct values; raises when there are more than ``max_values`` (None: any number)."""
+def categories(df: DataFrame, column: str, max_values: int = MAX_COLUMNS) -> list:
+    """Sorted distinct values; they are counted first, and more than ``max_values`` raise an error with their number."""
     values = df.where(~is_missing(df, column)).select(col(column).alias("v")).distinct()
-    rows = (values if max_values is None else values.limit(max_values + 1)).collect()
-    if max_values is not None and len(rows) > max_values:
+    rows = values.limit(max_values + 1).collect()
+    if len(rows) > max_values:
         raise ValueError(
-            f"Column '{column}' has more than {max_values} distinct values; one-hot encoding would add as "
-            "many columns. Use label encoding or binning, or raise max_values.")
+            f"Column '{column}' has {values.count()} distinct values, more than {max_values}; one-hot encoding would add "
+            "as many columns. Use label encoding or binning, or raise max_values.")
     return sorted(r["v"] for r in rows)
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], max_values: int | None = None) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str], max_values: int = MAX_COLUMNS) -> DataFrame:
     """Replace each column by 0/1 columns ``{column}_{value}``; a missing value sets none of them.
 
     The result has a column for every value, all of which the plan names.

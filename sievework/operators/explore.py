@@ -17,6 +17,7 @@ from sievework.functions.schema import (
 )
 from sievework.functions.work import one_row, spread
 from sievework.operators import profile
+from sievework.operators.encode import categories
 
 MAX_POINTS = 5000
 # Leaves the upper 16 bits of a hash.
@@ -381,7 +382,7 @@ def contingency(df: DataFrame, x: str, y: str, wide: bool = False) -> DataFrame:
     require_categorical(df, [x, y])
     rows = df.select(group_label(df, y).alias("__y"), group_label(df, x).alias("x"))
     if wide:
-        names = [r["x"] for r in rows.select("x").distinct().orderBy("x").collect()]
+        names = categories(rows, "x")
         return rows.groupBy("__y").pivot("x", names).count().na.fill(0).withColumnRenamed("__y", "y")
     counts = rows.groupBy("__y", "x").agg(F.count(F.lit(1)).alias("n"))
     names = one_row(counts.agg(F.collect_set("x").alias("names"))).getField("names")

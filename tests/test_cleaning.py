@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions import work
 from sievework.operators import dedup, encode, features, knn, missing, scaling, text
 from sievework.operators import encode as encode_module
 from sievework.plans import fits, steps
@@ -254,3 +255,31 @@ def test_one_hot_of_many_values(spark):
     assert len(encode.one_hot(rows, ["c"]).columns) == 60
     with pytest.raises(ValueError):
         encode.one_hot_append(rows, "c")
+
+
+def test_recipe_writes_a_shuffled_table_before_it_is_read_again(spark, gaps, monkeypatch):
+    written = []
+
+    def settle(df):
+        written.append(df)
+        return work.settle(df)
+
+    monkeypatch.setattr(steps, "settle", settle)
+    recipe = [{"action": "remove_duplicates"}, {"action": "standardize_text", "cols": ["s"]},
+              {"action": "scale", "cols": ["x"]}, {"action": "outliers", "column": "x"}]
+    rows = spark.range(300).selectExpr("id % 90 AS x", "concat('t', id % 9) AS s").where("x % 4 <> 3")
+    out = steps.run(rows, recipe)
+    assert len(written) == 1  # after the duplicates; scaled rows are read again
+    plain = steps.run(rows, recipe, settle_shuffles=False)
+    assert len(written) == 1 and sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
+    steps.run(rows, [{"action": "scale", "cols": ["x"]}, {"action": "remove_duplicates"}])
+    assert len(written) == 1
+    first = steps.preview(rows, recipe[:1], 3, ["x", "s"]).collect()
+    assert [r["x"] for r in first] == [0, 1, 2]
+
+
+def test_indicator_columns_are_counted_first(spark):
+    rows = spark.range(30).selectExpr("cast(id AS string) AS s")
+    with pytest.raises(ValueError, match="30 distinct"):
+        encode.one_hot(rows, ["s"], max_values=20)
+    assert len(encode.one_hot(rows, ["s"], max_values=30).columns) == 30
