@@ -53,24 +53,40 @@ def scale(df: DataFrame, cols: Sequence[str], method: str = "standard", approxim
     return apply_scale(df, fit_scale(df, cols, method, approximate))
 
 
-def zscore(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
-    """New column (x - mean) / sample std."""
+def fit_zscore(df: DataFrame, column: str) -> tuple[float, float]:
+    """Mean and sample standard deviation, for ``apply_feature``."""
     require_numeric(df, [column])
     x = as_number(column)
     row = df.agg(F.avg(x).alias("mean"), deviation(x, sample=True).alias("std")).first()
     if not row["std"]:
         raise ValueError(f"Column '{column}' cannot be standardized because its std is 0 or missing")
-    return df.withColumn(into or f"{column}_zscore", (x - F.lit(row["mean"])) / F.lit(row["std"]))
+    return row["mean"], row["std"]
 
 
-def normalize(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
-    """New column (x - min) / (max - min)."""
+def fit_normalize(df: DataFrame, column: str) -> tuple[float, float]:
+    """Minimum and range, for ``apply_feature``."""
     require_numeric(df, [column])
     x = as_number(column)
     row = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     if row["lo"] is None or row["lo"] == row["hi"]:
         raise ValueError(f"Column '{column}' cannot be normalized because min = max or no values exist")
-    return df.withColumn(into or f"{column}_normalized", (x - F.lit(row["lo"])) / F.lit(row["hi"] - row["lo"]))
+    return row["lo"], row["hi"] - row["lo"]
+
+
+def apply_feature(df: DataFrame, column: str, fitted: tuple[float, float], into: str) -> DataFrame:
+    """New column (x - centre) / width; a plain projection, so it works on a stream."""
+    centre, width = fitted
+    return df.withColumn(into, (as_number(column) - F.lit(centre)) / F.lit(width))
+
+
+def zscore(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
+    """New column (x - mean) / sample std."""
+    return apply_feature(df, column, fit_zscore(df, column), into or f"{column}_zscore")
+
+
+def normalize(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
+    """New column (x - min) / (max - min)."""
+    return apply_feature(df, column, fit_normalize(df, column), into or f"{column}_normalized")
 
 
 # --- outliers -------------------------------------------------------------

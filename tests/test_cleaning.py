@@ -240,6 +240,35 @@ def test_stored_fit(spark):
     assert fits.read_fit(fits.fit_table(spark, {"x": fences})) == {"x": fences}
 
 
+def test_stream_takes_up_a_newer_fit_without_restart(spark, tmp_path):
+    fit, out = str(tmp_path / "fit"), str(tmp_path / "out")
+    df = spark.createDataFrame([(float(i),) for i in range(10)], "x double")
+    low, width = scaling.fit_normalize(df, "x")
+    fits.store(spark, fit, 1, {"x": {"centre": low, "width": width}})
+    for part in range(2):
+        df.where(f"x % 2 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def apply(batch, fitted):
+        # The fit is made again while the stream runs: the next batch has it.
+        fits.store(spark, fit, 2, {"x": {"centre": 100.0, "width": 1.0}})
+        return scaling.apply_feature(batch, "x", (fitted["x"]["centre"], fitted["x"]["width"]), "scaled")
+
+    fits.keep_applied(stream, fit, apply, out, str(tmp_path / "check"), available_now=True).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 10 and {r["batch"] for r in rows} == {0, 1}
+    for r in rows:
+        assert r["scaled"] == pytest.approx(r["x"] / 9 if r["batch"] == 0 else r["x"] - 100)
+
+
+def test_features_apply_constants_of_other_rows(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(9)], "x double")
+    other = spark.createDataFrame([(0.0,), (8.0,), (9.0,), (None,)], "x double")
+    got = scaling.apply_feature(other, "x", scaling.fit_zscore(df, "x"), "z").collect()
+    assert got[0]["z"] == pytest.approx(-4 / np.std(range(9), ddof=1)) and got[3]["z"] is None
+    assert [r["x_binned"] for r in features.apply_cut(other, "x", features.fit_cut(df, "x", 4)).collect()] == [0, 3, None, None]
+
+
 @pytest.mark.parametrize("rows_per_box", [4, 4096])
 def test_knn_needs_no_whole_or_distinct_ids(spark, monkeypatch, rows_per_box):
     monkeypatch.setattr(knn, "ROWS_PER_BOX", rows_per_box)
