@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.work import settle
 from sievework.llm import grouped, texts
-from sievework.llm.components import components
+from sievework.llm.components import components, stars
 
 #: Coordinates in a band.
 BAND_ROWS = 4
@@ -121,7 +121,7 @@ def _filter(wanted: DataFrame):
 
     table = np.zeros(max(bits // 32, FILTER_PART), np.uint32)
     parts = words.withColumn("part", F.expr(f"w DIV {FILTER_PART}")).groupBy("part").applyInArrow(pack, "part long, packed binary")
-    for row in parts.toLocalIterator():
+    for row in parts.coalesce(8).toLocalIterator():  # 16 MB in all, by eighths
         table[row.part * FILTER_PART:(row.part + 1) * FILTER_PART] = np.frombuffer(row.packed, np.uint32)
     shared = spark.sparkContext.broadcast(table)
     return shared, F.pmod(F.xxhash64("doc"), F.lit(bits))
@@ -218,10 +218,17 @@ def _between_parts(members: DataFrame, sets: DataFrame, per_mille: int) -> DataF
     finds who has anyone to be compared with, so that only their sets travel;
     the pairs themselves are never written.
     """
-    blocks = members.groupBy("key").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
-    own = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # A member meets every block of its bucket once: as the smaller or the larger of two block numbers.
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # The component of a member taken at random is most often the largest one.
+    rest = F.col("component") != F.col("main")
+    heads = members.groupBy("key").agg(F.max_by("component", F.xxhash64("set", F.lit("main"))).alias("main"))
+    own = members.join(heads, "key")
+    blocks = own.groupBy("key").agg(F.ceil(F.count_if(rest) / BLOCK).alias("others"), F.ceil(F.count_if(~rest) / BLOCK).alias("same"))
+    own = own.join(blocks, "key").withColumn("mine", F.when(rest, F.pmod(F.xxhash64("set"), F.col("others"))).otherwise(
+        F.col("others") + F.pmod(F.xxhash64("set"), F.col("same"))))
+    # A member meets a block of its bucket once, as the smaller or the larger of two block numbers; those of the main
+    # component meet the others only.
+    last = F.when(rest, F.col("others") + F.col("same") - 1).otherwise(F.col("others") - 1)
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     columns = ("key", "i", "j", "mine", "node", "set", "component", "n", "able", "bands")
     spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select(*columns)
 
@@ -278,7 +285,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots = nodes.select("node", "set", "n", F.explode("bands").alias("key"))
     crowded = slots.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
     slots = settle(slots.join(crowded.select("key", "lead"), "key"))
-    sets = settle(sets_of(own, slots.select("node", "set").distinct(), width, key))
+    sets = settle(sets_of(own, settle(slots.select("node", "set").distinct()), width, key))
 
     # First every member of a bucket with its leader; sizes alone rule many out.
     small, big = F.least("n", "lead.n"), F.greatest("n", "lead.n")
@@ -299,7 +306,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .where(1000 * F.col("able") >= per_mille * F.col("n")))
     able = _still_mixed(able).join(nodes.select("node", "set", "bands"), ["node", "set"])
     more = _between_parts(able, sets, per_mille)
-    parts = components(links.unionByName(more))
+    parts = components(stars(parts).unionByName(more))
 
     named = table.join(nodes.select("digest", "node"), "digest", "left").withColumn("node", F.coalesce("node", "doc"))
     named = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

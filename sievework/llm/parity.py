@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.work import settle
 from sievework.llm import grouped, minhash, texts
-from sievework.llm.components import components
+from sievework.llm.components import components, stars
 
 #: Members of a bucket from which it gets further leaders, and how many; components from which it is dealt anew, and how often.
 CROWD, LEADERS, PARTS, LEVELS = 64, 4, 1024, 2
@@ -307,7 +307,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     for level in range(LEVELS + 1):
         links = settle(links.unionByName(_compared(slots.where("rank <> lead").select("lead", number.alias("uid")), sets, per_mille)))
         for turn in range(LEADERS + 1):
-            mixed, placed = _mixed(slots, sets, settle(components(links)), turn)
+            parts = settle(components(links))
+            links = stars(parts)
+            mixed, placed = _mixed(slots, sets, parts, turn)
             large = placed.join(mixed.where(F.col("size") > CROWD), "key").where("component <> head.component AND upper + head.upper < 2")
             if turn == LEADERS or large.isEmpty():
                 break

@@ -104,13 +104,22 @@ def test_sketch_estimates_similarity():
     assert minhash.n_bands(0.85) >= 20
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [50_000, 7])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr(components, "LINKS", per_task)
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45)]
+    links += [(1000, 1000 + i) for i in range(1, 30)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     label = reachable({x for p in links for x in p}, links)
     assert got == {n: label[n] for p in links if p[0] != p[1] for n in p}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # What was found, with one link more, gives the same as all links.
+    more = components.stars(components.components(spark.createDataFrame(links, "a long, b long"))).unionByName(
+        spark.createDataFrame([(40, 1005)], "a long, b long"))
+    label = reachable({x for p in links for x in p}, links + [(40, 1005)])
+    got = {r.node: r.component for r in components.components(more).collect()}
+    assert got == {n: label[n] for p in links if p[0] != p[1] for n in p}
 
 
 def test_drop_near_and_exact(odd, clashing, none):
