@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20
 
@@ -128,19 +129,93 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return runs(~SPACE[data], offs)
 
 
+#: Words that are hashed at once, and the bytes up to which a word is hashed that way.
+HASHED, HASHED_BYTES = 1 << 14, 256
+
+
+def keyed_hashes(data: np.ndarray, offs: np.ndarray, key: bytes) -> np.ndarray:
+    """SipHash-2-4 of each stretch between two offsets, under a key of 16 bytes.
+
+    Aumasson and Bernstein, SipHash: a fast short-input PRF (2012): who does
+    not know the key cannot tell hashes from random ones.  Stretches are taken
+    together, eight bytes of each in one step.
+    """
+    sizes = np.diff(offs)
+    blocks = sizes // 8 + 1
+    ends = np.cumsum(blocks)
+    padded = np.zeros(8 * int(blocks.sum()), np.uint8)
+    padded[np.arange(len(data[offs[0]:offs[-1]])) + np.repeat(8 * (ends - blocks) - (offs[:-1] - offs[0]), sizes)] = data[offs[0]:offs[-1]]
+    padded[8 * ends - 1] = sizes & 255
+    message = padded.view("<u8")
+    order = np.argsort(-blocks, kind="stable")
+    firsts = (ends - blocks)[order]
+    longer = len(sizes) - np.searchsorted(np.sort(blocks), np.arange(blocks.max(initial=0)), "right")
+    one, two = (int.from_bytes(key[i:i + 8], "little") for i in (0, 8))
+    # The four words "somepseudorandomlygeneratedbytes".
+    state = [np.full(len(sizes), x, np.uint64) for x in (
+        one ^ 0x736F6D6570736575, two ^ 0x646F72616E646F6D, one ^ 0x6C7967656E657261, two ^ 0x7465646279746573)]
+
+    def turn(x: np.ndarray, n: int) -> None:
+        x[:] = x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    def add(a: np.ndarray, b: np.ndarray, n: int) -> None:
+        a += b
+        turn(b, n)
+        b ^= a
+
+    def rounds(own: list[np.ndarray], n: int) -> None:
+        a, b, c, d = own
+        for _ in range(n):
+            add(a, b, 13)
+            turn(a, 32)
+            add(c, d, 16)
+            add(a, d, 21)
+            add(c, b, 17)
+            turn(c, 32)
+
+    for at, n in enumerate(longer.tolist()):
+        own, word = [x[:n] for x in state], message[firsts[:n] + at]
+        own[3] ^= word
+        rounds(own, 2)
+        own[0] ^= word
+    state[2] ^= np.uint64(255)
+    rounds(state, 4)
+    out = np.empty(len(sizes), np.uint64)
+    out[order] = state[0] ^ state[1] ^ state[2] ^ state[3]
+    return out
+
+
+def _distinct_hashes(words: pa.Array, key: bytes) -> np.ndarray:
+    """The hash of each word; without a key, or for a long word, by one call each."""
+    def single(some: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8, key=key).digest() for w in some.to_pylist()]), np.uint64)
+
+    if not key:
+        return single(words)
+    long_ = pc.greater(pc.binary_length(words), HASHED_BYTES)
+    data, offs = binary(words.filter(pc.invert(long_)))
+    short = hashlib.blake2b(key, digest_size=16).digest()
+    found = [keyed_hashes(data, offs[i:i + HASHED + 1], short) for i in range(0, len(offs) - 1, HASHED)]
+    at = long_.to_numpy(zero_copy_only=False)
+    out = np.empty(len(words), np.uint64)
+    out[~at] = np.concatenate(found) if found else 0
+    out[at] = single(words.filter(long_))
+    return out
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, and the offsets of the rows in the list of words.
 
-    Each distinct word of a piece is hashed by a cryptographic function, so no
-    text can be made up to have the words of another one if the key is secret.
+    Each distinct word of a piece is hashed by a cryptographic function, under a
+    key by one for short inputs, so no text can be made up to have the words of
+    another one if the key is secret.
     """
     inside = ~SPACE[data]
     starts, ends = runs(inside, offs)
     places = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[inside])])
     coded = words.dictionary_encode()
-    hashes = b"".join([hashlib.blake2b(w, digest_size=8, key=key).digest() for w in coded.dictionary.to_pylist()])
-    return np.frombuffer(hashes, np.uint64)[coded.indices.to_numpy()], np.searchsorted(starts, offs, "left")
+    return _distinct_hashes(coded.dictionary, key)[coded.indices.to_numpy()], np.searchsorted(starts, offs, "left")
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int, key: bytes = b"") -> list[np.ndarray]:

@@ -157,6 +157,24 @@ def test_word_hashes_depend_on_the_key():
     assert rows.tolist() == [0, 3] and one[0] == one[2] != one[1] and not (one == other).any()
 
 
+def test_words_are_hashed_together_under_a_key(monkeypatch):
+    data, key = np.arange(64, dtype=np.uint8), bytes(range(16))
+    # The hashes of the first 0, 1, 8 and 15 bytes that the function's authors give.
+    for n, want in ((0, "310e0edd47db6f72"), (1, "fd67dc93c539f874"), (8, "6224939a79f5f593"), (15, "e545be4961ca29a1")):
+        assert texts.keyed_hashes(data, np.array([0, n]), key).astype("<u8").tobytes().hex() == want
+    offs = np.sort(np.random.default_rng(5).integers(0, 65, 200))
+    alone = [texts.keyed_hashes(data, offs[i:i + 2], key)[0] for i in range(199)]
+    assert texts.keyed_hashes(data, offs, key).tolist() == alone
+    calls, plain = [], texts.hashlib.blake2b
+    monkeypatch.setattr(texts.hashlib, "blake2b", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    monkeypatch.setattr(texts, "HASHED", 100)
+    words = [f"{i}é" for i in range(1000)] + ["x" * 256, "x" * 257, "y" * 5000, "0é", "y" * 5000, "x" * 257 + "z"]
+    piece = np.frombuffer(" ".join(words).encode(), np.uint8)
+    found, rows = texts.word_hashes(piece, np.array([0, len(piece)]), b"key")
+    assert len(calls) <= 5 and rows.tolist() == [0, len(words)]
+    assert len(set(found.tolist())) == len(set(words)) and found[0] == found[1003] and found[1002] == found[1004]
+
+
 # --- ranked search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
