@@ -38,6 +38,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of tables that are no longer held removed: their shuffles and what ``settle`` wrote.
+
+    Spark removes them once the driver's garbage collection finds the tables
+    gone, and a driver with little garbage may not collect it for a long time.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
 

@@ -14,12 +14,14 @@ def n_tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
-def by_key(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+def by_key(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table | None], schema: str,
+           tasks: int | None = None) -> DataFrame:
     """Apply ``work`` to the rows of each group, sorted by ``order`` within it.
 
     ``keys`` are columns of 64-bit integers without nulls.  A group is held in
     memory while it is worked on, so callers bound its size; groups as such
-    cost no call of their own between the engine and Python.
+    cost no call of their own between the engine and Python.  Callers that know
+    how much work there is give the number of ``tasks``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,5 +57,5 @@ def by_key(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.
             if found is not None and len(found):
                 yield from found.to_batches()
 
-    dealt = df.repartition(n_tasks(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    dealt = df.repartition(tasks or n_tasks(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.work import settle
+from sievework.functions.work import release, settle
 from sievework.llm import grouped, minhash, texts
 from sievework.llm.components import components, stars
 
@@ -44,6 +44,10 @@ BLOCK = 256
 GROUP_SHINGLES = 250_000
 #: Words of sketches that are compared at once.
 WORDS = 1 << 20
+#: Bytes of sets that are compared with leaders in one task; every turn then has as many tasks as its pairs need.
+TASK_BYTES = 8 << 20
+#: Sets up to which their numbers are broadcast, so that the other sets are not shuffled with them.
+FEW = 200_000
 
 
 class Bands:
@@ -132,7 +136,8 @@ def _again(members: DataFrame, sets: DataFrame, bands: Bands, seed: int) -> Data
             yield pa.record_batch([*batch.columns[:3], _lists(items, batch.column(1).to_numpy(), bands, seed)],
                                   names=["uid", "grp", "band", "words"])
 
-    own = members.select("uid", "grp").distinct().join(sets, "uid").select("uid", "grp", "band", "items")
+    own = settle(members.select("uid", "grp").distinct())
+    own = own.join(_picked(sets, own, own.count()), "uid").select("uid", "grp", "band", "items")
     return own.mapInArrow(run, "uid long, grp long, band long, words array<long>")
 
 
@@ -156,10 +161,25 @@ def _slots(sketched: DataFrame, seed: int) -> DataFrame:
     return one.join(heads, "key")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
-    """Links (a, b) among pairs (lead, uid), verified on full sets in groups of bounded size."""
-    pairs = settle(pairs.distinct())
-    load = (pairs.groupBy("lead").agg(F.count("*").alias("deg")).join(sets.select(F.col("uid").alias("lead"), "n"), "lead")
+def _picked(sets: DataFrame, uids: DataFrame, most: int) -> DataFrame:
+    """The sets with one of ``most`` numbers at most; all sets where those are many."""
+    return sets.join(F.broadcast(uids.select("uid").distinct()), "uid", "left_semi") if most <= FEW else sets
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, about: DataFrame, per_mille: int) -> DataFrame | None:
+    """Links (a, b) among pairs (lead, uid), verified on full sets in groups of bounded size; None without a pair."""
+    sizes = about.select("uid", "n")
+    pairs = settle(pairs.distinct().join(sizes.select(F.col("uid").alias("lead"), F.col("n").alias("m")), "lead").join(sizes, "uid"))
+    # Sizes alone rule many out.
+    fit = per_mille * F.greatest("m", "n") <= 1000 * F.least("m", "n")
+    every, left, items = pairs.agg(F.count("*"), F.count_if(fit), F.coalesce(F.sum(F.when(fit, F.col("n"))), F.lit(0))).first()
+    if not every:
+        return None
+    pairs = pairs.where(fit)
+    used = pairs.select("uid").unionByName(pairs.select(F.col("lead").alias("uid")))
+    sets = _picked(sets, used, 2 * left)
+    tasks = min(1 + 8 * items // TASK_BYTES, grouped.n_tasks(sets.sparkSession))
+    load = (pairs.groupBy("lead").agg(F.count("*").alias("deg"), F.max("m").alias("n"))
             .select("lead", (F.col("deg") * F.col("n") / GROUP_SHINGLES).cast("long").alias("parts")))
     leads = load.select(F.col("lead").alias("uid"), "lead", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"),
                         F.lit(0).alias("second"))
@@ -172,7 +192,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
         found = [b for b, raw in zip(nodes[1:], items[1:]) if _jaccard(own, np.frombuffer(raw.as_py(), np.uint64), per_mille)]
         return pa.table({"a": pa.array([nodes[0]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-    return grouped.by_key(placed, ["lead", "part"], ["second"], compare, "a long, b long")
+    return grouped.by_key(placed, ["lead", "part"], ["second"], compare, "a long, b long", tasks)
 
 
 def _jaccard(one: np.ndarray, other: np.ndarray, per_mille: int) -> bool:
@@ -254,23 +274,19 @@ def _between(members: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
                          "b": pa.array([b for _, b in found.values()], pa.int64())})
 
     near = settle(grouped.by_key(own, ["key", "i", "j"], ["uid"], involved, schema))
-    return grouped.by_key(near.join(sets.select("uid", "items"), "uid"), ["key", "i", "j"], ["uid"], compare, "a long, b long")
+    sets = _picked(sets.select("uid", "items"), near, near.count())
+    return grouped.by_key(near.join(sets, "uid"), ["key", "i", "j"], ["uid"], compare, "a long, b long")
 
 
-def _mixed(slots: DataFrame, sets: DataFrame, parts: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Buckets that hold several components, with another leader each, and the members of all buckets.
-
-    The first leaders are left out: they have been compared with everyone.
-    """
-    about = sets.select("uid", "node", "n", "band").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = (slots.where("rank <> lead").select("key", "pos", F.col("rank").bitwiseAND(F.lit(UPPER - 1)).alias("uid"),
-                                                 F.shiftright("rank", 62).alias("upper")).join(about, "uid"))
+def _mixed(members: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """The members of the buckets that hold several components, with those, and with another leader for each bucket."""
+    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     head = F.max_by(F.struct("uid", "component", "upper"), F.xxhash64("uid", F.lit(turn)))
     mixed = (placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("upper").alias("least"), head.alias("head"),
         F.approx_count_distinct("component").alias("parts"), F.count("*").alias("size"))
         .where("low < high AND least = 0").select("key", "head", "parts", "size"))
-    return mixed, placed
+    return placed.join(mixed, "key")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -298,28 +314,42 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     both = F.array(F.struct(F.col("band").alias("grp"), F.col("here").alias("words")),
                    F.struct((F.col("band") - 1).alias("grp"), F.col("below").alias("words")))
     slots = settle(_slots(nodes.select("uid", "band", F.inline(both)), 0))
+    nodes = settle(nodes.select("uid", "node", "digest", "n", "band"))
+    release(docs.sparkSession)
     number = F.col("rank").bitwiseAND(F.lit(UPPER - 1))
-    met = nodes.join(slots.select(number.alias("uid")).distinct(), "uid", "left_semi").select(
-        "uid", "node", "n", "band", F.xxhash64("digest").alias("set"))
-    sets = settle(minhash.sets_of(own, met, width, key).select("uid", "node", "n", "band", "items"))
+    about = settle(nodes.join(slots.select(number.alias("uid")).distinct(), "uid", "left_semi").select(
+        "uid", "node", "n", "band", F.xxhash64("digest").alias("set")))
+    sets = settle(minhash.sets_of(own, about, width, key).select("uid", "node", "band", "items"))
+    about = about.drop("set")
     links = minhash.own_links(table, nodes)
 
     for level in range(LEVELS + 1):
-        links = settle(links.unionByName(_compared(slots.where("rank <> lead").select("lead", number.alias("uid")), sets, per_mille)))
+        release(docs.sparkSession)
+        # The leaders are left out from now on, when they have been compared with everyone.
+        others = slots.where("rank <> lead").select("key", "pos", number.alias("uid"), F.shiftright("rank", 62).alias("upper"), "lead")
+        found = _compared(others.select("lead", "uid"), sets, about, per_mille)
+        links = settle(links if found is None else links.unionByName(found))
+        members = others.drop("lead").join(about, "uid")
+        del slots, others
         for turn in range(LEADERS + 1):
             parts = settle(components(links))
             links = stars(parts)
-            mixed, placed = _mixed(slots, sets, parts, turn)
-            large = placed.join(mixed.where(F.col("size") > CROWD), "key").where("component <> head.component AND upper + head.upper < 2")
-            if turn == LEADERS or large.isEmpty():
+            # Components only grow, so buckets of one component are done with, and each turn reads those that the last one left.
+            placed = settle(_mixed(members, parts, turn))
+            members = placed.drop("component", "head", "parts", "size")
+            release(docs.sparkSession)
+            if turn == LEADERS:
+                break
+            large = placed.where((F.col("size") > CROWD) & F.expr("component <> head.component AND upper + head.upper < 2"))
+            found = _compared(large.select(F.col("head.uid").alias("lead"), "uid"), sets, about, per_mille)
+            if found is None:
                 break
-            links = settle(links.unionByName(_compared(large.select(F.col("head.uid").alias("lead"), "uid"), sets, per_mille)))
-        placed = settle(placed.join(mixed.select("key", "parts"), "key"))
+            links = settle(links.unionByName(found))
+        placed = placed.drop("head", "size").withColumn("grp", F.col("band") - F.col("upper"))
         few = placed if level == LEVELS else placed.where(F.col("parts") <= PARTS)
-        few = few.withColumn("grp", F.col("band") - F.col("upper"))
         words = _again(few, sets, bands, level).drop("band")
         links = links.unionByName(_between(few.join(words, ["uid", "grp"]), sets, per_mille))
-        crowded = placed.where(F.col("parts") > PARTS).withColumn("grp", F.col("band") - F.col("upper"))
+        crowded = placed.where(F.col("parts") > PARTS)
         if level == LEVELS or crowded.isEmpty():
             break
         slots = settle(_slots(settle(_again(crowded, sets, bands, level + 1)), level + 1))

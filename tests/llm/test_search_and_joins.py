@@ -141,6 +141,43 @@ def test_join_of_odd_rows(odd, clashing, none, texts_of):
     assert parity.join(none).count() == 0
 
 
+def test_turns_of_a_join_take_few_tasks(spark, monkeypatch):
+    """The driver keeps a record of every task, so later turns, with little left to compare, run few."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(150):
+        words = [f"w{i}" for i in range(150)]
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        rows.append((d, " ".join(words)))
+    monkeypatch.setattr(parity, "CROWD", 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before, sc = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", 150)
+    sc.setJobGroup("turns", "turns of a join")
+    try:
+        got = parity.join(df, width=3, threshold=0.9).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("turns") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    label = near_brute(rows, 3, 900)
+    assert {r.doc_id: r.component_id for r in got} == label
+    assert tasks < 1500
+
+
+def test_sets_of_few_numbers_are_not_shuffled(spark, monkeypatch):
+    sets = spark.createDataFrame([(i, i, 0, b"x" * 8) for i in range(50)], "uid long, node long, band long, items binary")
+    uids = spark.createDataFrame([(3,), (7,), (3,), (99,)], "uid long")
+    for few in (4, 3):
+        monkeypatch.setattr(parity, "FEW", few)
+        got = parity._picked(sets, uids, 4)
+        assert {r.uid for r in got.join(uids, "uid").collect()} == {3, 7}
+        assert got.count() == (2 if few == 4 else 50)
+
+
 def test_no_false_links_of_crafted_texts(spark):
     """Words on which polynomial hashes modulo powers of two agree for every base."""
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
